@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_decode
 from .common import table
 from .packing import pack
 
@@ -14,8 +15,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of all documents, as digests."""
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op5_packing": op5_packing,
+    "op6_bpe": op6_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
