@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_decode
 from .common import table
 from .packing import pack
+from .simhash import near_duplicates
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +21,13 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
 }
