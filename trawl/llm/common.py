@@ -53,3 +53,20 @@ def long_id(df: DataFrame, column: str = "doc_id"):
 def crc_remainder(column, parts: int):
     """crc32 of an id's decimal text, modulo ``parts``: a split that any engine can repeat."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(parts))
+
+
+#: Rows of a few dozen bytes up to which a table may be broadcast once it has been counted.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it has at most ``rows`` rows.
+
+    A larger one is returned as it is, and joins shuffle it.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def let(value, body):
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import encode_decode
 from .common import table
+from .exact_dedup import deduplicate
 from .packing import pack
 from .simhash import near_duplicates
 
@@ -26,7 +27,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal texts stays, for all documents."""
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_exact_dedup": op9_exact_dedup,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
