@@ -1,0 +1,67 @@
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from trawl.llm import quality as Q
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(5)}
+    n, rep = len(words), len(covered)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), rep, n < 10 or 100 * rep > 20 * n
+
+
+def measured(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("m", F.lit("clash")).withColumn("n_words", F.lit(-1))
+    return df, sorted(Q.judge(df).collect(), key=str)
+
+
+def test_measures_and_edge_cases(spark):
+    rng = random.Random(5)
+    texts = [None, "", " \t\n", "one", "a b c d e", "a b c d e a b c d e", "x " * 400, "\n".join(["same line here"] * 9 + ["other"]), "É # ＄ $ \x1c\x85 z　y", "<b>|*|</b> " * 30]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    texts += ["\n".join(rng.choice(["", " ", "l1 w", "l2\tw", "l1 w "]) for _ in range(12)) for _ in range(20)]
+    texts += [" ".join(f"w{rng.randint(0, 30_000)}" for _ in range(50_000)) + " p q r s t u" * 3]
+    rows = [(i, f"s{i % 3}" if i % 7 else None, t) for i, t in enumerate(texts)] + [(0, "s0", "one")]
+    df, got = measured(spark, rows)
+    expected = sorted(((i, *brute(t)) for i, _, t in rows), key=str)
+    assert sorted((tuple(r)[:7] for r in got), key=str) == expected
+    kept = Counter(r.doc_id for r in got if r.kept)
+    assert Counter(r.doc_id for r in Q.keep_good(df).collect()) == kept
+    assert Q.keep_good(df).columns == df.columns
+    assert measured(spark, [])[1] == []
+
+
+def test_host_verdicts_are_shrunk(spark):
+    """A large host of failing documents is rejected, a host of two documents is not."""
+    good = "many different words stand here one after the other without end "
+    rows = []
+    for h in range(12):
+        rows += [(100 * h + i, f"good{h}", good + str(i)) for i in range(60)]
+    rows += [(5000 + i, "bad", good + str(i) if i % 5 == 0 else "too short") for i in range(100)]
+    rows += [(6000, "tiny", "too short"), (6001, "tiny", good)]
+    df, got = measured(spark, rows)
+    verdict = {r.doc_id: r.kept for r in got}
+    assert not any(verdict[5000 + i] for i in range(100))
+    assert verdict[6001] and not verdict[6000] and all(verdict[100 * h + i] for h in range(12) for i in range(60))
+
+
+def test_measures_of_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:7] for r in Q.judge(docs).collect()}
+    assert got == {r.doc_id: brute(r.text) for r in docs.collect()}
+
+
+def test_no_python_in_the_plan(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = Q.measure(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

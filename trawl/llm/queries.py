@@ -9,6 +9,7 @@ from .bpe import encode_decode
 from .common import table
 from .exact_dedup import deduplicate
 from .packing import pack
+from .quality import judge
 from .simhash import near_duplicates
 
 
@@ -32,7 +33,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of all documents."""
+    return judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_quality": op10_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
