@@ -11,6 +11,7 @@ from .exact_dedup import deduplicate
 from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
+from .toxicity import labelled_sample, score, train
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of the labelled three quarters."""
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(labelled_sample(docs, table(spark, sf_dir, "labels"))))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op10_quality": op10_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op3_simhash": op3_simhash,
