@@ -12,6 +12,7 @@ from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
 from .toxicity import labelled_sample, score, train
+from .url_graph import judge as judge_urls
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(labelled_sample(docs, table(spark, sf_dir, "labels"))))
 
 
+def op8_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op8_url_graph": op8_url_graph,
     "op1_toxicity": op1_toxicity,
     "op10_quality": op10_quality,
     "op9_exact_dedup": op9_exact_dedup,
