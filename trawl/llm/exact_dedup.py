@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut, shared_folder, small
@@ -157,3 +157,24 @@ def deduplicate(docs: DataFrame, digits: int = DIGITS, memtable: int = MEMTABLE)
     stayers = stayers.select("doc_id", "keep_id", "group_size", (F.col("time") == 1).alias("kept"), F.col("sha").alias("text_sha256"))
     leavers = joined.where(~stay).select("doc_id", "keep_id", "group_size", F.lit(False).alias("kept"), F.col("sha").alias("text_sha256"))
     return single.unionByName(stayers).unionByName(leavers)
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``deduplicate`` keeps, with all their columns.
+
+    Rows whose id belongs to no dropped row pass without a look at their text.
+    """
+    found = cut(deduplicate(docs).where("group_size > 1"))
+    touched = small(cut(found.where("not kept").select(F.col("doc_id").alias("id of a dropped row")).distinct()))
+    stays = small(cut(found.groupBy("doc_id", "text_sha256").agg(F.sum(F.col("kept").cast("long")).alias("stays"))))
+    is_touched = docs["doc_id"].cast("long").eqNullSafe(touched["id of a dropped row"])
+    passing = docs.join(touched, is_touched, "left_anti")
+    rest = docs.join(touched, is_touched, "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("whole row")
+    text = F.coalesce(rest["text"].cast("string"), F.lit(""))
+    keyed = rest.select(whole, rest["doc_id"].cast("long").alias("id"), F.sha2(F.regexp_replace(text, SPACE, "").cast("binary"), 256).alias("sha"), F.char_length(text).alias("points"))
+    keyed = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.desc("points"))))
+    joined = keyed.join(stays, keyed["id"].eqNullSafe(stays["doc_id"]) & (keyed["sha"] == stays["text_sha256"]), "left")
+    # A touched id's row of a text that no other row shares is in no group; it stays.
+    kept = joined.where(F.coalesce(F.col("nth") <= F.col("stays"), F.lit(True))).select("whole row.*")
+    return passing.unionByName(kept)

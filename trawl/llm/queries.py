@@ -5,12 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .binary_output import pack_rows
 from .bpe import encode_decode
+from .chat import format_turns
 from .common import table
 from .exact_dedup import deduplicate
 from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
+from .token_counts import corpus_totals
 from .toxicity import labelled_sample, score, train
 from .url_graph import judge as judge_urls
 
@@ -51,14 +54,32 @@ def op8_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens by source, language and tokenizer version."""
+    return corpus_totals(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k")
+
+
+def op4_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed id matrices of all documents."""
+    return pack_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked, ordered, validated and serialised turns of all conversations."""
+    return format_turns(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
-    "op8_url_graph": op8_url_graph,
     "op1_toxicity": op1_toxicity,
-    "op10_quality": op10_quality,
-    "op9_exact_dedup": op9_exact_dedup,
+    "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
+    "op4_binary_output": op4_binary_output,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op7_chat": op7_chat,
+    "op8_url_graph": op8_url_graph,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
