@@ -56,7 +56,7 @@ def crc_remainder(column, parts: int):
 
 
 #: Rows of a few dozen bytes up to which a table may be broadcast once it has been counted.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
