@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import cache_key
-from ..operators import dense, fusion, lexical
+from ..operators import dense, lexical
+from ..operators import fusion as fusing
 from ..operators.ranking import non_blank, ranked, with_payload
 from ..operators.rerank import rerank
 
@@ -30,7 +31,7 @@ class Searcher:
     metric: str = "dot"
     reranker: object = None
     alpha: float = 0.5
-    constant: int = fusion.RRF_K
+    constant: int = fusing.RRF_K
     results: dict[str, DataFrame] = field(default_factory=dict)
 
     def search(self, queries: DataFrame, mode: str = "hybrid", k: int = 10, *, rerank_top_n: int | None = None, payload: bool = False) -> DataFrame:
@@ -47,8 +48,8 @@ class Searcher:
         elif mode == "hybrid":
             reach = max(3 * k, 50)
             legs = lexical.search(self.index, queries, reach), dense.search(queries, self.vectors, reach, metric=self.metric)
-            merge = fusion.strategy(self.fusion)
-            run = merge(*legs, alpha=self.alpha, k=k) if merge is fusion.by_scores else merge(*legs, constant=self.constant, k=k)
+            merge = fusing.strategy(self.fusion)
+            run = merge(*legs, alpha=self.alpha, k=k) if merge is fusing.by_scores else merge(*legs, constant=self.constant, k=k)
         else:
             pool = self.search(queries, "hybrid", min(1000, rerank_top_n or 3 * k))
             texts = with_payload(pool, self.passages).join(queries.select("query_id", "query_text"), "query_id")
