@@ -366,8 +366,9 @@ def hybrid_topk_scores(spark, sf):
     return searcher(spark, sf, fusion="score").search(chat_queries(spark, sf), "hybrid").select("query_id", "passage_id", *r6("score"), "rank")
 
 
+_LEGS_90 = _LEGS.replace("rank <= 50", "rank <= 90")
 _RERANK = (
-    f"{_LEGS}, {_rrf_sql(['run_lex', 'run_vec'], 30)}, tokd AS (SELECT r.query_id, r.passage_id, list_distinct({_tokens('query_text')}) AS a, list_distinct({_tokens('text')}) AS b FROM run r JOIN queries USING (query_id) JOIN passages USING (passage_id)), "
+    f"{_LEGS_90}, {_rrf_sql(['run_lex', 'run_vec'], 30)}, tokd AS (SELECT r.query_id, r.passage_id, list_distinct({_tokens('query_text')}) AS a, list_distinct({_tokens('text')}) AS b FROM run r JOIN queries USING (query_id) JOIN passages USING (passage_id)), "
     "rr AS (SELECT query_id, passage_id, 1 / (1 + exp(-(8 * CASE WHEN len(list_distinct(list_concat(a, b))) > 0 THEN len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) ELSE 0 END - 1))) AS score FROM tokd), "
 )
 

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # The usual English stop words of search engines.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
@@ -78,7 +79,7 @@ def porter(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _stem(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: None if ws is None else [porter(w) for w in ws])
 
@@ -92,7 +93,7 @@ def english(text: Column, *, possessives: bool = True, stem: bool = True) -> Col
     return _stem(found) if stem else found
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def uuid5(names: pd.Series) -> pd.Series:
     """Name-based id of a passage in the url namespace."""
     return names.map(lambda n: None if n is None else str(uuid.uuid5(uuid.NAMESPACE_URL, n)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def min_max(score: Column, lowest: Column, highest: Column) -> Column:
     """(score - lowest) / span; 1 where all scores are equal."""
@@ -42,8 +44,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """``v`` divided by its length, at least 1e-9."""
-    length = F.greatest(norm(v), F.lit(1e-9))
-    return F.transform(v, lambda x: x.cast("double") / length)
+    return let(F.greatest(norm(v), F.lit(1e-9)), lambda length: F.transform(v, lambda x: x.cast("double") / length))
 
 
 def euclid(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Python's ``str.split`` sees it.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -21,6 +22,11 @@ CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
 SENTENCE_BREAK = r'(?<=[.!?])\s+(?=[A-Z"])'
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once; within a lambda an outer expression is computed for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def tokenise(text: Column) -> Column:
     """Lower-cased words between white space; a null text has none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITESPACE), lambda w: w != "")
@@ -36,7 +42,7 @@ def indexed_text(title: Column, text: Column) -> Column:
     return F.when(F.coalesce(title, F.lit("")) != "", F.concat_ws(" ", title, text)).otherwise(F.coalesce(text, F.lit("")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
@@ -112,10 +118,15 @@ def windows(items: Column, size: int, overlap: int = 0, *, drop_contained_tail:
     """
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size must be positive and overlap less than size")
-    step, count = size - overlap, F.size(items)
-    last = count - 1 if not drop_contained_tail else F.greatest(count - overlap - 1, F.lit(0))
-    starts = F.when(count > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(items, i + 1, size))
+    step = size - overlap
+
+    def cut(held: Column) -> Column:
+        count = F.size(held)
+        last = count - 1 if not drop_contained_tail else F.greatest(count - overlap - 1, F.lit(0))
+        starts = F.when(count > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(held, i + 1, size))
+
+    return let(items, cut)
 
 
 def chunk(text: Column, size: int, overlap: int = 0, *, unit: str = "words", min_size: int = 1, drop_contained_tail: bool = False) -> Column:

@@ -91,11 +91,12 @@ def search(queries: DataFrame, corpus: DataFrame, k: int = 10, *, metric: str =
 def search_native(queries: DataFrame, corpus: DataFrame, k: int = 10, *, metric: str = "dot", exclude_self: bool = False) -> DataFrame:
     """The same by column expressions alone, for a query set that is small enough to broadcast."""
     metric = _metric(metric)
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = corpus.select("passage_id", "embedding").crossJoin(F.broadcast(asked) if queries.count() <= BLOCK else asked)
+    own = unit(F.col("embedding")) if metric == "cosine" else F.col("embedding")  # lengths before pairs
+    asked = queries.select("query_id", own.alias("q"))
+    pairs = corpus.select("passage_id", own.alias("embedding")).crossJoin(F.broadcast(asked) if queries.count() <= BLOCK else asked)
     if exclude_self:
         pairs = pairs.where("query_id <> passage_id")
-    return ranked(pairs.select("query_id", "passage_id", similarity(metric, F.col("q"), F.col("embedding")).alias("score")), k, ascending=metric == "euclid")
+    return ranked(pairs.select("query_id", "passage_id", similarity("dot" if metric == "cosine" else metric, F.col("q"), F.col("embedding")).alias("score")), k, ascending=metric == "euclid")
 
 
 @dataclass

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import sigmoid
-from ..functions.text import jaccard, tokenise
+from ..functions.text import jaccard, let, tokenise
 from .ranking import ranked
 
 
@@ -48,9 +48,15 @@ def encoded(df: DataFrame, text: str, make: Callable[[], Encoder], *, prefix: st
 def hashed_words(text: Column, dimensions: int = 64) -> Column:
     """Stand-in embedding: counts of words by the first 32 bits of their MD5, as a unit vector."""
     buckets = F.transform(tokenise(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dimensions)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(buckets, lambda x: x == d)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: x / F.greatest(length, F.lit(1e-9)))
+
+    def counted(held: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(held, lambda x: x == d)).cast("double"))
+
+    def scaled(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return let(F.greatest(length, F.lit(1e-9)), lambda n: F.transform(counts, lambda x: x / n))
+
+    return let(let(buckets, counted), scaled)
 
 
 def overlap_score(query: Column, passage: Column) -> Column:
