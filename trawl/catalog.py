@@ -487,10 +487,10 @@ def experiment_rank(spark, sf):
     return by_system(spark, sf).select("system", *r6("ndcg_10"), F.row_number().over(Window.orderBy(F.desc("ndcg_10"), "system")).alias("rank"))  # one row a system
 
 
-@query(f"{_METRICS}, bad AS (SELECT query_id, ndcg_10 + 0.2 * (CAST(query_id AS BIGINT) % 3) AS shifted FROM m_full) SELECT query_id, round(shifted, 6) AS shifted FROM bad WHERE NOT (shifted BETWEEN 0 AND 1)")
+@query(f"{_METRICS}, bad AS (SELECT query_id, ndcg_10 + 0.6 * (CAST(query_id AS BIGINT) % 3) AS shifted FROM m_full) SELECT query_id, round(shifted, 6) AS shifted FROM bad WHERE NOT (shifted BETWEEN 0 AND 1)")
 def qrels_validation(spark, sf):
     """Metrics out of range, here made so on purpose."""
-    shifted = by_query(spark, sf).select("query_id", (F.col("ndcg_10") + 0.2 * (F.col("query_id").cast("long") % 3)).alias("shifted"))
+    shifted = by_query(spark, sf).select("query_id", (F.col("ndcg_10") + 0.6 * (F.col("query_id").cast("long") % 3)).alias("shifted"))
     return metrics.violations(shifted, ["shifted"]).select("query_id", *r6("shifted"))
 
 
