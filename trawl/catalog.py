@@ -156,7 +156,7 @@ def _per_query(run: str, tag: str) -> str:
         for k in ks
     )
     ideals = ", ".join(f"sum(CASE WHEN p <= {k} THEN grade / log2(p + 1) ELSE 0 END) AS qidcg_{k}" for k in ks)
-    div = lambda a, b: f"coalesce(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END, 0)"
+    div = lambda a, b: f"CASE WHEN {b} > 0 THEN coalesce({a}, 0) / {b} ELSE 0 END"
     out = ", ".join(
         f"coalesce(dcg_{k}, 0) AS dcg_{k}, coalesce(xdcg_{k}, 0) AS dcg_exp_{k}, least({div(f'dcg_{k}', f'idcg_{k}')}, 1) AS ndcg_{k}, {div(f'xdcg_{k}', f'xidcg_{k}')} AS ndcg_exp_{k}, least({div(f'dcg_{k}', f'qidcg_{k}')}, 1) AS ndcg_qrels_{k}, "
         f"coalesce(CASE WHEN first_hit <= {k} THEN 1.0::DOUBLE / first_hit END, 0) AS mrr_{k}, {div(f'hits_{k}::DOUBLE', 'n_relevant')} AS recall_{k}, coalesce(hits_{k}::DOUBLE, 0) / {k} AS precision_{k}, {div(f'hits_{k}::DOUBLE', f'least(returned, {k})')} AS precision_len_{k}"

@@ -67,8 +67,8 @@ def per_query(run: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS) ->
     judged = qrels.select("query_id").distinct().join(wanted, "query_id", "left").join(found, "query_id", "left")
 
     def over(a: Column, b: Column, most: bool = False) -> Column:
-        value = F.when(b > 0, a / b).otherwise(zero)
-        return F.coalesce(F.least(value, F.lit(1.0)) if most else value, zero)
+        value = F.when(b > 0, F.coalesce(a, F.lit(0)) / b).otherwise(zero)
+        return F.least(value, F.lit(1.0)) if most else value
 
     n, returned = F.coalesce("n_relevant", F.lit(0)), F.coalesce("returned", F.lit(0))
     out = [
