@@ -123,26 +123,9 @@ class Packer:
         self.pool, self.held = [], 0
 
     def finish(self) -> None:
-        """The partition's last pool.
-
-        Whole windows are divided as ever. The rest, less than a window, is cut
-        at falling powers of two, lengths that need no padding.
-        """
-        rest = self.held % (self.capacity)
-        body, tail = self.held - rest, []
-        if body:
-            # Leave the last ``rest`` ids for the tail; one piece may be cut in two there. Its
-            # checksum is of ids that are gone, so only whole pieces move.
-            while self.pool and sum(p[2] for p in tail) + self.pool[-1][2] <= rest:
-                tail.append(self.pool.pop())
-            self.held = sum(p[2] for p in self.pool)
-        else:
-            tail, self.pool = self.pool[::-1], []
+        """Divide the partition's last pool, of fewer windows."""
         if self.pool:
             self.flush()
-        if tail:
-            self._window(tail[::-1])
-        self.held = 0
 
     def take(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -174,7 +157,7 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, windows:
         encode = byte_bpe(tokenizer).encode
         packer = Packer(TaskContext.get().partitionId() << 33, capacity, windows, piece, grain, room)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):  # one text at a time
                 packer.add(doc_id, encode(text.as_py()) + closing)
             yield _to_batch(packer.take())
         packer.finish()
