@@ -70,3 +70,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def let(value, body):
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Rows of an Arrow batch that become Python objects at once.
+SLICE = 500
+
+
+def slices(batches):
+    """Batches cut into slices, so that a worker never holds the objects of a whole batch."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, SLICE):
+            yield batch.slice(k, SLICE)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, shared_folder, small
+from .common import SPACE, cut, shared_folder, small, slices
 
 #: Digests in a memtable.
 MEMTABLE = 200_000
@@ -40,7 +40,7 @@ def digests(docs: DataFrame, digits: int = DIGITS) -> DataFrame:
     """doc_id, digest (hex, of the text without white space) and points (code points of the whole text) of every row."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1)
             keys = [hashlib.sha256((t or b"").translate(None, _DELETED)).hexdigest() for t in texts.cast(pa.binary()).to_pylist()]
             points = pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, shared_folder
+from .common import WORD, cut, shared_folder, slices
 from .subwords import byte_bpe
 
 #: What totals are kept by.
@@ -34,7 +34,7 @@ def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer).encode
-        for batch in batches:
+        for batch in slices(batches):
             *columns, texts = batch.columns
             tokens = [len(encode(t)) // 4 for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.int64())], names=["doc_id", "source", "lang", "words", "tokens"])

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, crc_remainder, cut
+from .common import BROADCAST_ROWS, crc_remainder, cut, slices
 
 #: Lengths of n-grams.
 GRAMS = (3, 4, 5)
@@ -38,10 +39,13 @@ PENALTY = 1.0
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
 #: Words remembered by one Python worker; the memory starts anew beyond it.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longer words are split: their n-grams are taken, but they aren't remembered.
 LONGEST = 60
 
+#: What words without features share.
+NONE = array("I")
+
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -57,9 +61,9 @@ class Features(dict):
     def __init__(self, chosen: dict[int, int] | None = None):
         self.chosen = chosen
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> array:
         buckets = word_buckets(word)
-        found = tuple(buckets) if self.chosen is None else tuple(self.chosen[b] for b in buckets if b in self.chosen)
+        found = array("I", buckets if self.chosen is None else [self.chosen[b] for b in buckets if b in self.chosen]) or NONE
         if len(word) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -152,7 +156,7 @@ def train(labelled: DataFrame, *, features: int = FEATURES, penalty: float = PEN
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, counts = Features().of, np.zeros((2, BUCKETS), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[label, of(text)] += 1
         used = np.flatnonzero(counts.any(0))
@@ -168,7 +172,7 @@ def train(labelled: DataFrame, *, features: int = FEATURES, penalty: float = PEN
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features(numbers).of
-        for batch in batches:
+        for batch in slices(batches):
             rows = [np.array(sorted(of(t)), "<u4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["features", "toxic"])
 
@@ -203,7 +207,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features(model.chosen).of
-        for batch in batches:
+        for batch in slices(batches):
             scores = [model.score(of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
@@ -218,7 +222,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features(model.chosen).of
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([model.score(of(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
