@@ -47,3 +47,16 @@ def test_an_attempt_without_a_marker_does_not_count(spark):
     T.deltas(changes).write.parquet(f"{rollup.folder}/deltas/lost-attempt")
     assert totals(rollup) == []
     assert rollup.commit("b", changes) and totals(rollup) == [("a", "en", "v", 1, 3)]
+
+
+def test_rows_without_words_count(spark):
+    rows = [(1, None, "en", "blank"), (2, "", "en", "blank"), (3, " \n\t ", "en", "blank"), (3, " \n\t ", "en", "blank"), (4, " ", None, None), (5, "x y", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    library, count, size = Tokenizer.from_file(PATH), Counter(), Counter()
+    for _, text, lang, source in rows:
+        for version, n in (("words", len((text or "").split())), ("bpe", len(library.encode(text or "").ids))):
+            count[source, lang, version] += 1
+            size[source, lang, version] += n
+    assert size["blank", "en", "bpe"] > 0
+    got = sorted((tuple(r) for r in T.corpus_totals(docs, PATH, "bpe").collect()), key=str)
+    assert got == sorted(((*k, count[k], size[k]) for k in count), key=str)

@@ -112,12 +112,13 @@ class Rollup:
 
 
 def corpus_totals(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
-    """Totals of ``docs`` (doc_id, source, lang, text), maintained through four batches.
+    """Totals of ``docs`` (doc_id, source, lang, text), maintained through five batches.
 
     All rows are inserted with their number of words as an estimate, under
     ``version`` and under ``words``; the estimates of ``version`` are revised to
-    the tokenizer's counts; rows without words are deleted; and the revision is
-    sent again, which changes nothing. Repeated rows count as often as they
+    the tokenizer's counts; rows without words are deleted and inserted again;
+    and the revision is sent again, which changes nothing. So totals cover all
+    rows, null, empty and white-space-only ones among them. Repeated rows count as often as they
     occur; null sources and languages are keys of their own; other columns are
     ignored; an empty table gives no rows.
     """
@@ -132,6 +133,7 @@ def corpus_totals(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
     revision = changes(counts, "revise", version, F.col("tokens"), F.col("words"))
     rollup.commit("insert", changes(counts, "insert", version, F.col("words")).unionByName(changes(counts, "insert", "words", F.col("words"))))
     rollup.commit("revise", revision)
-    rollup.commit("delete", changes(empty, "delete", version, F.col("tokens")).unionByName(changes(empty, "delete", "words", F.col("words"))))
+    for op, batch in (("delete", "delete"), ("insert", "insert again")):
+        rollup.commit(batch, changes(empty, op, version, F.col("tokens")).unionByName(changes(empty, op, "words", F.col("words"))))
     rollup.commit("revise", revision)
     return rollup.totals()
