@@ -72,3 +72,12 @@ def test_empty_and_long(spark):
     rows = [(1, 0, "user", "x\\\"" * 100_000), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, None, "user", ""), (None, 3, None, "t")]
     got = C.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert len(got) == 5 and {r.status for r in got} == {"answered", "linked", "unanswered", "message"}
+
+
+def test_dependencies_in_null_conversations(spark):
+    rows = [call(1, "a", "{}", conv=None), call(2, "b", "{}", on=["a"], conv=None), call(3, "c", "{}", on=["b", "a"], conv=None), result(4, "c", "x", None), call(5, "x", "{}", on=["y"], conv=None), call(6, "y", "{}", on=["x"], conv=None), call(7, "d", "{}", on=["a"])]
+    got = {(r["conv_id"], r["seq"]): (r["level"], r["status"]) for r in linked(spark, rows)}
+    assert got == {
+        (None, 1): (0, "unanswered"), (None, 2): (1, "unanswered"), (None, 3): (2, "answered"), (None, 4): (3, "linked"),
+        (None, 5): (None, "circular"), (None, 6): (None, "circular"), (1, 7): (0, "unanswered"),
+    }

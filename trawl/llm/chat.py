@@ -64,14 +64,15 @@ def levels(calls: DataFrame) -> DataFrame:
 
     A call without dependencies in its conversation is at level 0, any other
     one above the highest it depends on; null where dependencies form a circle.
-    One round, cut, for each level.
+    One round, cut, for each level. Null conversations are one.
     """
+    calls = calls.withColumn("conv_id", F.struct("conv_id"))  # joins as equal where it holds null
     nodes = cut(calls.select("conv_id", "id").distinct())
     edges = calls.select("conv_id", "id", F.explode("depends_on").alias("on")).distinct()
     known = nodes.select("conv_id", F.col("id").alias("on"))
     edges = cut(edges.join(known, ["conv_id", "on"], "left_semi"))
     if edges.isEmpty():
-        return nodes.withColumn("level", F.lit(0))
+        return nodes.select("conv_id.conv_id", "id", F.lit(0).alias("level"))
     done = nodes.join(edges, ["conv_id", "id"], "left_anti").withColumn("level", F.lit(0))
     done, left = cut(done), edges.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("needs"))
     left = cut(left)
@@ -82,7 +83,7 @@ def levels(calls: DataFrame) -> DataFrame:
             break
         done = cut(done.unionByName(ready))
         left = cut(left.join(ready, ["conv_id", "id"], "left_anti"))
-    return done.unionByName(left.select("conv_id", "id", F.lit(None).cast("int").alias("level")))
+    return done.unionByName(left.select("conv_id", "id", F.lit(None).cast("int").alias("level"))).select("conv_id.conv_id", "id", "level")
 
 
 def link(records: DataFrame, schemas: Schemas) -> DataFrame:
