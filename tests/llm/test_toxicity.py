@@ -68,3 +68,13 @@ def test_gradient():
     weights, intercept = T.fit_weights(rows, labels, np.ones(30), 0.1)
     predicted = np.array([weights[r].sum() + intercept > 0 for r in rows])
     assert (predicted == (labels > 0)).mean() > 0.98
+
+
+def test_rare_words_without_clean_uses_are_learnt(spark):
+    """Six toxic rows of 60 share a word that no other row has."""
+    rows = [(i, f"plain words number {'abcdefghij'[i % 10]} {'vile' if i < 6 else 'fine'}") for i in range(60)]
+    labelled = spark.createDataFrame([(t, int(i < 6)) for i, t in rows], "text string, toxic int")
+    model = T.train(labelled)
+    assert T.word_buckets("vile") & set(model.chosen)
+    found = {r.doc_id: r.predicted for r in T.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert found == {i: int(i < 6) for i, _ in rows}

@@ -2,8 +2,8 @@
 
 A document's features are the distinct n-grams of its words, ends marked, as
 hash buckets. On the labelled documents each bucket gets the log ratio of its
-smoothed frequency in toxic and other documents; the buckets whose ratio stands
-out most against its sampling error are the model's features, each worth its
+smoothed frequency in toxic and other documents; the buckets whose counts stand
+out most by a likelihood-ratio test are the model's features, each worth its
 ratio where present. Logistic regression with an L2 penalty weighs them. The
 labelled sample is bounded by ``sample`` rows; everything else sees all rows.
 """
@@ -30,7 +30,7 @@ BUCKETS = 1 << 20
 SAMPLE = 20_000
 #: Features that a model has at most.
 FEATURES = 6_000
-#: Least ratio of a feature's log-count ratio to its standard error.
+#: Least root of a feature's likelihood ratio (G), which is sound for n-grams that one side lacks.
 STANDS_OUT = 4.0
 #: Added to every count.
 SMOOTHING = 0.5
@@ -165,7 +165,13 @@ def train(labelled: DataFrame, *, features: int = FEATURES, penalty: float = PEN
     counts = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(counted, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     pos, neg = F.col("pos") + SMOOTHING, F.col("neg") + SMOOTHING
     ratio = F.log(pos / (toxic + 2 * SMOOTHING)) - F.log(neg / (other + 2 * SMOOTHING))
-    rated = counts.select("bucket", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / pos + 1 / neg)).alias("z"))
+    used, rest = F.col("pos") + F.col("neg"), toxic + other - F.col("pos") - F.col("neg")
+
+    def term(seen, row, side: int):
+        return F.when(seen > 0, seen * F.log(seen * float(toxic + other) / (row * float(side)))).otherwise(0.0)
+
+    g = 2 * (term(F.col("pos"), used, toxic) + term(F.col("neg"), used, other) + term(toxic - F.col("pos"), rest, toxic) + term(other - F.col("neg"), rest, other))
+    rated = counts.select("bucket", ratio.alias("ratio"), F.sqrt(F.greatest(g, F.lit(0.0))).alias("z"))
     chosen = rated.where(F.col("z") >= STANDS_OUT).orderBy(F.desc("z"), "bucket").limit(features).collect()
     model = Model([r["bucket"] for r in chosen], np.zeros(len(chosen)), 0.0)
     numbers = model.chosen
