@@ -54,3 +54,14 @@ def test_lookup(spark):
     key = hashlib.sha256(b"t3").hexdigest()
     assert [tuple(r)[:3] for r in index.lookup(key).collect()] == [(key, 7, 3)]
     assert index.lookup("0" * 64).collect() == []
+
+
+def test_whole_table_equals_sql(spark, sf):
+    import duckdb
+
+    from trawl.llm.queries import ORACLE_SQL, QUERIES
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["op9_exact_dedup"](spark, sf).collect())
+    assert got == sorted(db.execute(ORACLE_SQL["op9_exact_dedup"]).fetchall()) and not all(r[3] for r in got)

@@ -82,4 +82,15 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_dedup": r"""
+        WITH plain AS (
+            SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS key
+            FROM documents
+        )
+        SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY key) AS group_size,
+            row_number() OVER best = 1 AS kept, sha256(key) AS text_sha256
+        FROM plain
+        WINDOW best AS (PARTITION BY key ORDER BY length(text) DESC, doc_id NULLS LAST)
+    """,
+}
