@@ -25,10 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .subwords import byte_symbols
+from .subwords import SPACES, byte_symbols
 
-#: White space as Unicode defines it.
-SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters of text that are encoded together.
 STRETCH = 6_000_000
 #: Chunks remembered by one Python worker; the memory starts anew beyond it.
