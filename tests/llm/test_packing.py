@@ -126,3 +126,23 @@ def test_packed_rows_round_trip(spark, sf, library, tmp_path):
     assert set(parts) == {None, 10**6 + 3}
     assert sum(r.n_tokens for r in rows) > 0.9 * 2048 * len(rows)
     assert binary_output.pack_rows(docs.limit(0), PATH).collect() == []
+
+
+def test_only_what_must_be_cut_is_cut(spark):
+    """Pieces of a document: whole windows and one rest; ``piece`` cuts rests for less padding."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(1, 5000) if i % 9 == 0 else rng.randint(1, 900)))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    padded = {}
+    for piece in (None, 256):
+        found = packing.pack(docs, PATH, piece=piece).collect()
+        per_row, per_doc = {}, {}
+        for r in found:
+            per_row[r.sequence_id] = per_row.get(r.sequence_id, 0) + r.length
+            per_doc.setdefault(r.doc_id, []).append(r)
+        assert max(per_row.values()) <= packing.CAPACITY
+        if piece is None:
+            more = sum(len(p) - -(-p[0].doc_tokens // packing.CAPACITY) for p in per_doc.values())
+            assert more < packing.WINDOWS * 4 and sum(len(p) for p in per_doc.values()) < 1.5 * len(rows)
+        padded[piece] = len(per_row) * packing.CAPACITY / sum(per_row.values()) - 1
+    assert padded[256] < padded[None] < 0.05
