@@ -78,3 +78,31 @@ def test_rare_words_without_clean_uses_are_learnt(spark):
     assert T.word_buckets("vile") & set(model.chosen)
     found = {r.doc_id: r.predicted for r in T.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert found == {i: int(i < 6) for i, _ in rows}
+
+
+def brute_grams(text):
+    line = f" {' '.join(text.lower().split())} "
+    return {line[i : i + n] for n in T.GRAMS for i in range(len(line) - n + 1)} if text.split() else set()
+
+
+def test_all_characters_count(monkeypatch):
+    """Each n-gram, whatever its characters, has one bucket; stretches of a long text change nothing."""
+    texts = ["", " \n", "a", "ab", "Tr4$h  y0u\n*idiot* 😀 É", "i d i o t", "x" * 30, "w1 w2 " * 40]
+    number = {}
+    for text in texts:
+        grams, found = brute_grams(text), T.buckets_of(text).tolist()
+        assert len(found) == len(set(found)) == len(grams)
+        for g in grams:
+            number.setdefault(g, set(found))
+            number[g] &= set(found)
+    assert all(number.values())
+    whole = [sorted(T.buckets_of(t).tolist()) for t in texts]
+    monkeypatch.setattr(T, "STRETCH", 7)
+    assert [sorted(T.buckets_of(t).tolist()) for t in texts] == whole
+
+
+def test_spellings_with_digits_and_symbols_are_learnt(spark):
+    rows = [(i, f"plain words number {'abcdefghij'[i % 10]} {['tr4$h', '1d10t'][i % 2] if i < 12 else 'fine'}") for i in range(80)]
+    model = T.train(spark.createDataFrame([(t, int(i < 12)) for i, t in rows], "text string, toxic int"))
+    found = {r.doc_id: r.predicted for r in T.score(spark.createDataFrame([(1, "a tr4$h here"), (2, "a fine day"), (3, "1d10t")], "doc_id long, text string"), model).collect()}
+    assert found == {1: 1, 2: 0, 3: 1}

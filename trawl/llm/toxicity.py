@@ -1,19 +1,21 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A document's features are the distinct n-grams of its words, ends marked, as
-hash buckets. On the labelled documents each bucket gets the log ratio of its
-smoothed frequency in toxic and other documents; the buckets whose counts stand
-out most by a likelihood-ratio test are the model's features, each worth its
-ratio where present. Logistic regression with an L2 penalty weighs them. The
-labelled sample is bounded by ``sample`` rows; everything else sees all rows.
+A document's features are the distinct n-grams of its lower-cased characters,
+digits, symbols and the spaces between words among them, as hash buckets; a run
+of white space is one space, and one stands at either end. On the labelled
+documents each bucket gets the log ratio of its smoothed frequency in toxic and
+other documents; the buckets whose counts stand out most by a likelihood-ratio
+test are the model's features, each worth its ratio where present. Logistic
+regression with an L2 penalty weighs them.
+
+Ratios are counted on at most about ``counted`` labelled rows and weights are
+fitted to at most about ``sample`` of these; everything else sees all rows.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,13 @@ from .common import BROADCAST_ROWS, crc_remainder, cut, slices
 
 #: Lengths of n-grams.
 GRAMS = (3, 4, 5)
+#: Binary digits of a hash bucket's number.
+BITS = 22
 #: Hash buckets of n-grams.
-BUCKETS = 1 << 20
-#: Labelled rows that a model is fitted to at most (about; a hash of the id decides).
+BUCKETS = 1 << BITS
+#: Labelled rows that log-count ratios are counted on at most (about; a hash of the id decides).
+COUNTED = BROADCAST_ROWS // 2
+#: Labelled rows that the regression is fitted to at most (about).
 SAMPLE = 20_000
 #: Features that a model has at most.
 FEATURES = 6_000
@@ -38,43 +44,50 @@ SMOOTHING = 0.5
 PENALTY = 1.0
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
-#: Words remembered by one Python worker; the memory starts anew beyond it.
-REMEMBERED = 200_000
-#: Longer words are split: their n-grams are taken, but they aren't remembered.
-LONGEST = 60
-
-#: What words without features share.
-NONE = array("I")
-
-_WORDS = re.compile(r"[^\W\d_]+").findall
+#: Characters of a text that are hashed at once.
+STRETCH = 200_000
+
+_TIMES = np.random.default_rng(9).integers(0, 1 << 64, (max(GRAMS) + 1, max(GRAMS)), np.uint64, endpoint=False) | np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.zeros(0, np.int32)
+
+
+@lru_cache(maxsize=1)
+def _scratch() -> np.ndarray:
+    """Room for one number a bucket, kept by the worker."""
+    return np.empty(BUCKETS, np.int32)
+
+
+def _distinct(buckets: np.ndarray) -> np.ndarray:
+    """``buckets`` without repetitions, in any order: each keeps the place that was written last."""
+    at, places = _scratch(), np.arange(len(buckets), dtype=np.int32)
+    at[buckets] = places
+    return buckets[at[buckets] == places]
+
+
+def buckets_of(text: str | None) -> np.ndarray:
+    """Distinct buckets of the n-grams of one whole text; none if it has no words."""
+    words = (text or "").lower().split()
+    if not words:
+        return _NONE
+    points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    found = []
+    for start in range(0, max(1, len(points) - min(GRAMS) + 1), STRETCH):
+        part = points[start : start + STRETCH + max(GRAMS) - 1]
+        hashed = []
+        for n in GRAMS:
+            if len(part) >= n:
+                sums = part[: len(part) - n + 1] * _TIMES[n, 0]
+                for k in range(1, n):
+                    sums += part[k : len(part) - n + 1 + k] * _TIMES[n, k]
+                hashed.append(((sums ^ (sums >> np.uint64(31))) * _MIX >> np.uint64(64 - BITS)).astype(np.int32))
+        found.append(_distinct(np.concatenate(hashed)))
+    return found[0] if len(found) == 1 else _distinct(np.concatenate(found))
 
 
 def word_buckets(word: str) -> set[int]:
-    """Buckets of a word's n-grams, its ends marked."""
-    marked = f"^{word}$"
-    return {zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)}
-
-
-class Features(dict):
-    """Numbers of the features in each word, remembered; ``chosen`` numbers buckets, None takes all as they are."""
-
-    def __init__(self, chosen: dict[int, int] | None = None):
-        self.chosen = chosen
-
-    def __missing__(self, word: str) -> array:
-        buckets = word_buckets(word)
-        found = array("I", buckets if self.chosen is None else [self.chosen[b] for b in buckets if b in self.chosen]) or NONE
-        if len(word) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
-        return found
-
-    def of(self, text: str | None) -> list[int]:
-        """Distinct features of one whole text."""
-        if not text:
-            return []
-        return list(set().union(*map(self.__getitem__, set(_WORDS(text.lower())))))
+    """Buckets of the n-grams of a word that stands alone."""
+    return set(buckets_of(word).tolist())
 
 
 class Model:
@@ -83,9 +96,21 @@ class Model:
     def __init__(self, buckets: list[int], weights: np.ndarray, intercept: float):
         self.chosen = {b: i for i, b in enumerate(buckets)}
         self.weights, self.intercept = np.asarray(weights, float), float(intercept)
+        self._numbers: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_numbers": None}
 
-    def score(self, features: list[int]) -> float:
-        value = self.intercept + float(self.weights[sorted(features)].sum()) if features else self.intercept
+    def features(self, text: str | None) -> np.ndarray:
+        """Numbers of the features in one whole text, in order."""
+        if self._numbers is None:
+            self._numbers = np.full(BUCKETS, -1, np.int32)
+            self._numbers[list(self.chosen)] = np.arange(len(self.chosen), dtype=np.int32)
+        found = self._numbers[buckets_of(text)]
+        return np.sort(found[found >= 0])
+
+    def score(self, features) -> float:
+        value = self.intercept + float(self.weights[features].sum()) if len(features) else self.intercept
         return float(1 / (1 + np.exp(-np.clip(value, -40, 40))))
 
 
@@ -142,12 +167,13 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
     return w[:size] * ratios, float(w[size])
 
 
-def train(labelled: DataFrame, *, features: int = FEATURES, penalty: float = PENALTY) -> Model:
-    """Fit a model to ``labelled`` (text, toxic 0/1), already bounded.
+def train(labelled: DataFrame, *, features: int = FEATURES, penalty: float = PENALTY, sample: int = SAMPLE) -> Model:
+    """Fit a model to ``labelled`` (text, toxic 0/1 and, if rows are many, ``draw`` from 0 to 1), already bounded.
 
-    The driver gets the chosen buckets and each sampled row's chosen features.
-    Without rows of both kinds the model scores every text alike, by the share
-    of toxic rows (zero without rows).
+    Ratios are counted on all its rows; the regression takes those with the
+    least draws, about ``sample``. The driver gets the chosen buckets and each
+    sampled row's chosen features. Without rows of both kinds the model scores
+    every text alike, by the share of toxic rows (zero without rows).
     """
     sides = {int(r["toxic"]): r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sides.get(1, 0), sides.get(0, 0)
@@ -155,14 +181,19 @@ def train(labelled: DataFrame, *, features: int = FEATURES, penalty: float = PEN
         return Model([], np.zeros(0), 40.0 if toxic else -40.0)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, counts = Features().of, np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros((2, BUCKETS), np.int32)
         for batch in slices(batches):
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[label, of(text)] += 1
+                counts[label, buckets_of(text)] += 1
         used = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[1, used]), pa.array(counts[0, used])], names=["bucket", "pos", "neg"])
-
-    counts = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(counted, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        for k in range(0, len(used), 100_000):
+            part = used[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(counts[1, part].astype(np.int64)), pa.array(counts[0, part].astype(np.int64))], names=["bucket", "pos", "neg"])
+
+    context = labelled.sparkSession.sparkContext
+    # Each task puts out one row for each bucket it has met: no more tasks than can run at once.
+    rows = labelled.select("text", F.col("toxic").cast("int")).coalesce(max(1, context.defaultParallelism))
+    counts = rows.mapInArrow(counted, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     pos, neg = F.col("pos") + SMOOTHING, F.col("neg") + SMOOTHING
     ratio = F.log(pos / (toxic + 2 * SMOOTHING)) - F.log(neg / (other + 2 * SMOOTHING))
     used, rest = F.col("pos") + F.col("neg"), toxic + other - F.col("pos") - F.col("neg")
@@ -174,22 +205,23 @@ def train(labelled: DataFrame, *, features: int = FEATURES, penalty: float = PEN
     rated = counts.select("bucket", ratio.alias("ratio"), F.sqrt(F.greatest(g, F.lit(0.0))).alias("z"))
     chosen = rated.where(F.col("z") >= STANDS_OUT).orderBy(F.desc("z"), "bucket").limit(features).collect()
     model = Model([r["bucket"] for r in chosen], np.zeros(len(chosen)), 0.0)
-    numbers = model.chosen
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Features(numbers).of
         for batch in slices(batches):
-            rows = [np.array(sorted(of(t)), "<u4").tobytes() for t in batch.column(0).to_pylist()]
+            rows = [model.features(t).astype("<u4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["features", "toxic"])
 
-    rows = labelled.select("text", F.col("toxic").cast("int")).mapInArrow(featured, "features binary, toxic int").collect()
+    fitted = labelled
+    if toxic + other > sample and "draw" in labelled.columns:
+        fitted = labelled.where(F.col("draw") < sample / (toxic + other))
+    rows = fitted.select("text", F.col("toxic").cast("int")).mapInArrow(featured, "features binary, toxic int").collect()
     rows.sort(key=lambda r: (r["toxic"], bytes(r["features"])))  # sums in the same order each time
     model.weights, model.intercept = fit_weights([np.frombuffer(bytes(r["features"]), "<u4") for r in rows], np.array([r["toxic"] for r in rows], float), np.array([r["ratio"] for r in chosen], float), penalty)
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """text and toxic of at most about ``sample`` labelled rows outside the held-out quarter, written.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = COUNTED) -> DataFrame:
+    """text, toxic and draw (0 to 1, by the id) of at most about ``sample`` labelled rows outside the held-out quarter, written.
 
     Of repeated labels the toxic one counts; rows without a label are left out.
     """
@@ -199,7 +231,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     if total > sample:
         known = known.where(F.pmod(F.xxhash64("labelled"), F.lit(1 << 30)) < int(sample / total * (1 << 30)))
     assert sample * 2 <= BROADCAST_ROWS
-    return cut(docs.select(F.col("doc_id").cast("long").alias("labelled"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "labelled").select("text", "toxic"))
+    known = known.withColumn("draw", F.pmod(F.xxhash64("labelled", F.lit("draw")), F.lit(1 << 30)) / (1 << 30))
+    return cut(docs.select(F.col("doc_id").cast("long").alias("labelled"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "labelled").select("text", "toxic", "draw"))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,9 +245,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Features(model.chosen).of
         for batch in slices(batches):
-            scores = [model.score(of(t)) for t in batch.column(1).to_pylist()]
+            scores = [model.score(model.features(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
@@ -227,8 +259,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Features(model.chosen).of
         for batch in slices(batches):
-            yield batch.filter(pa.array([model.score(of(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.score(model.features(t)) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(clean, docs.schema)
