@@ -60,3 +60,48 @@ def test_rows_without_words_count(spark):
     assert size["blank", "en", "bpe"] > 0
     got = sorted((tuple(r) for r in T.corpus_totals(docs, PATH, "bpe").collect()), key=str)
     assert got == sorted(((*k, count[k], size[k]) for k in count), key=str)
+
+
+def test_a_driver_lost_before_the_rename_leaves_nothing(spark, monkeypatch):
+    rollup = T.Rollup(spark)
+    changes = spark.createDataFrame([("insert", "a", "en", "v", 3, None)], SCHEMA)
+
+    def lost(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(T.Rollup, "_commit", lost)
+        try:
+            rollup.commit("b", changes)
+        except KeyboardInterrupt:
+            pass
+    again = T.Rollup(spark, rollup.folder)
+    assert totals(again) == [] and again.committed() == set()
+    assert again.commit("b", changes) and totals(again) == [("a", "en", "v", 1, 3)]
+
+
+def test_of_two_attempts_one_counts(spark, monkeypatch):
+    rollup, other = T.Rollup(spark), None
+    changes = spark.createDataFrame([("insert", "a", "en", "v", 3, None)], SCHEMA)
+    other = T.Rollup(spark, rollup.folder)
+    with monkeypatch.context() as m:
+        m.setattr(T.Rollup, "committed", lambda self: set())  # as if both had looked before either had renamed
+        assert rollup.commit("b", changes) and not other.commit("b", changes)
+    assert totals(rollup) == [("a", "en", "v", 1, 3)]
+
+
+def test_compaction_keeps_totals_and_names(spark):
+    rollup = T.Rollup(spark, compact_at=3)
+    one = spark.createDataFrame([("insert", "a", "en", "v", 3, None), ("insert", None, None, "v", 1, None)], SCHEMA)
+    names = ["b 1", "b/2", "_b3", "é=4", "5"]
+    for k, name in enumerate(names):
+        held = rollup.totals()
+        assert rollup.commit(name, one) and not rollup.commit(name, one)
+        assert totals(rollup) == [("a", "en", "v", k + 1, 3 * (k + 1)), (None, None, "v", k + 1, k + 1)]
+        assert sorted(r.docs for r in held.collect()) == [k] * 2 * (k > 0)  # readers of the old state still can
+    while rollup.compact():
+        pass
+    assert rollup.committed() == set(names) and not rollup.commit("b/2", one)
+    assert totals(T.Rollup(spark, rollup.folder)) == [("a", "en", "v", 5, 15), (None, None, "v", 5, 5)]
+    rollup.compact()
+    assert rollup._listed("deltas") == [] and len(rollup._listed("bases")) == 1
