@@ -21,10 +21,9 @@ def test_whole_table(spark, sf):
     library, count, size = Tokenizer.from_file(PATH), Counter(), Counter()
     for r in docs.collect():
         words = len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
-        if words:
-            for version, n in (("words", words), ("bpe", len(library.encode(r.text).ids))):
-                count[r.source, r.lang, version] += 1
-                size[r.source, r.lang, version] += n
+        for version, n in (("words", words), ("bpe", len(library.encode(r.text or "").ids))):
+            count[r.source, r.lang, version] += 1
+            size[r.source, r.lang, version] += n
     got = sorted((tuple(r) for r in T.corpus_totals(docs, PATH, "bpe").collect()), key=str)
     assert got == sorted(((*k, count[k], size[k]) for k in count), key=str)
     assert T.corpus_totals(docs.limit(0), PATH, "bpe").collect() == []
