@@ -65,3 +65,39 @@ def test_whole_table_equals_sql(spark, sf):
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     got = sorted(tuple(r) for r in QUERIES["op9_exact_dedup"](spark, sf).collect())
     assert got == sorted(db.execute(ORACLE_SQL["op9_exact_dedup"]).fetchall()) and not all(r[3] for r in got)
+
+
+def test_runs_filters_and_compaction(spark, monkeypatch):
+    """A batch's hits come from the blocks whose filter lets them pass; compaction leaves one run with the smallest identifiers."""
+    monkeypatch.setattr(E, "BLOCK", 4)
+    index = E.DigestIndex(spark, memtable=5, shards=3)
+    texts = [[f"t{i}" for i in range(40)], ["t3", "t3", "new", "n2", "n2"], ["t39", "other", "new"]]
+    met = []
+    for k, batch in enumerate(texts):
+        met.append({r.digest for r in index.flush(E.digests(spark.createDataFrame([(100 - 10 * k - i % 10, t) for i, t in enumerate(batch)], "doc_id long, text string"))).collect()})
+    name = {t: hashlib.sha256(t.encode()).hexdigest() for b in texts for t in b}
+    assert met == [set(), {name["t3"], name["n2"]}, {name["t39"], name["new"]}]
+    before = sorted(tuple(r) for r in index.lookup(spark.createDataFrame([(d,) for d in [*name.values(), "0" * 64]], "digest string")).collect())
+    index.compact()
+    runs = index._read(index.runs).collect()
+    assert len(index.runs) == 1 and max(len(r.entries) for r in runs) <= 4
+    for r in runs:
+        keys = [e.digest for e in r.entries]
+        assert keys == sorted(set(keys)) and E.may_hold(E.np.frombuffer(r.filter, "u1"), keys).all()
+    other = [hashlib.sha256(b"none%d" % i).hexdigest() for i in range(2000)]
+    assert max(E.may_hold(E.np.frombuffer(r.filter, "u1"), other).mean() for r in runs) < 0.1
+    after = sorted(tuple(r) for r in index.lookup(spark.createDataFrame([(d,) for d in name.values()], "digest string")).collect())
+    assert before == after and {r[0]: (r[1], r[2]) for r in after}[name["t3"]] == (3, 89)
+    index.drop()
+
+
+def test_copies_without_ids_in_many_partitions(spark):
+    rows = [(None, "one text") for _ in range(600)] + [(i, f"t{i}") for i in range(60)] + [(7, "x")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted((tuple(r) for r in E.deduplicate(df).collect()), key=str) == brute(rows)
+
+
+def test_verification_is_not_a_broadcast_of_rows(spark, sf):
+    """What is broadcast is bounded: a thousand hot digests, never the hits."""
+    plan = E.deduplicate(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
