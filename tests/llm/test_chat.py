@@ -47,24 +47,40 @@ def test_arguments(spark):
     assert '"arguments":{"deep":true,"items":[1,{"a":[],"b":1}],"n":3,"o":{"a":2,"z":1}}' in next(r["json"] for r in got if r["seq"] == 9)
 
 
+def brute_levels(turns):
+    """Level of each (conv, turn): one above that of the last user's turn before it; 0 without one."""
+    out = {}
+    for conv in {c for c, _, _ in turns}:
+        own = sorted((t, r) for c, t, r in turns if c == conv)
+        for t, _ in own:
+            calls = [u for u, r in own if u < t and r == "user"]
+            out[conv, t] = out[conv, max(calls)] + 1 if calls else 0
+    return out
+
+
 def test_turns(spark, sf):
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
     rows = turns.collect()
-    got = {(r.conv_id, r.seq): r for r in C.format_turns(turns).collect()}
+    found = C.format_turns(turns).collect()
+    got = {(r.conv_id, r.seq): r for r in found}
     at = {(r.conv_id, r.turn): r for r in rows}
+    level = brute_levels([(r.conv_id, r.turn, r.role) for r in rows])
     assert len(got) == len(rows)
     for (conv, turn), r in at.items():
         g = got[conv, turn]
         if r.role == "user":
             answered = (conv, turn + 1) in at and at[conv, turn + 1].role == "assistant"
-            assert (g.level, g.status, g.problem) == (0, "answered" if answered else "unanswered", None)
+            assert (g.level, g.status, g.problem) == (level[conv, turn], "answered" if answered else "unanswered", None)
             assert json.loads(g.json)["arguments"] == {"prompt": r.text, "turn": turn}
         elif r.role == "assistant":
             linked_to = (conv, turn - 1) in at and at[conv, turn - 1].role == "user"
-            assert (g.level, g.status) == ((1, "linked") if linked_to else (0, "orphan"))
+            assert (g.level, g.status) == (level[conv, turn], "linked" if linked_to else "orphan")
             assert json.loads(g.json)["content"] == r.text
         else:
-            assert g.status == "message"
+            assert (g.level, g.status) == (level[conv, turn], "message")
+    for conv in {r.conv_id for r in found}:
+        read = [r.seq for r in sorted((r for r in found if r.conv_id == conv), key=lambda r: (r.level, r.seq))]
+        assert read == sorted(read)
 
 
 def test_empty_and_long(spark):
@@ -81,3 +97,30 @@ def test_dependencies_in_null_conversations(spark):
         (None, 1): (0, "unanswered"), (None, 2): (1, "unanswered"), (None, 3): (2, "answered"), (None, 4): (3, "linked"),
         (None, 5): (None, "circular"), (None, 6): (None, "circular"), (1, 7): (0, "unanswered"),
     }
+
+
+def test_long_conversation_takes_few_rounds(spark, monkeypatch):
+    """A chain of 400 calls: as many rounds as its logarithm, and the order of the turns."""
+    cuts = []
+    plain = C.cut
+    monkeypatch.setattr(C, "cut", lambda df: cuts.append(1) or plain(df))
+    rows = [(5, t, ["user", "assistant", "user", "system"][t % 4], "x") for t in range(800)] + [(None, 3, "user", "y"), (None, 9, "user", "z"), (None, 10, "assistant", "z")]
+    got = C.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    level = brute_levels([(c, t, r) for c, t, r, _ in rows])
+    assert {(r.conv_id, r.seq): r.level for r in got} == level
+    assert len(cuts) < 40
+
+
+def test_chains_that_meet(spark):
+    """Chains under calls of several dependencies, a circle, and what hangs on it."""
+    on = {f"c{i}": [f"c{i - 1}"] for i in range(1, 30)} | {"c0": [], "d0": [], "d1": ["d0"], "m": ["c29", "d1"], "n": ["m"], "o": ["n", "c3", "gone"], "x": ["z"], "y": ["x"], "z": ["y"], "w": ["x"], "v": ["w", "c0"], "u": ["v"], "s": ["s"]}
+    calls = spark.createDataFrame([(1, k, v) for k, v in on.items()] + [(1, "d1", ["d0"]), (2, "c5", ["c4"])], "conv_id long, id string, depends_on array<string>")
+    got = {(r.conv_id, r.id): r.level for r in C.levels(calls).collect()}
+    expected = {(1, f"c{i}"): i for i in range(30)} | {(1, "d0"): 0, (1, "d1"): 1, (1, "m"): 30, (1, "n"): 31, (1, "o"): 32, (2, "c5"): 0} | {(1, k): None for k in "xyzwvus"}
+    assert got == expected
+
+
+def test_plan_is_native_and_joins_by_hashes(spark, sf):
+    df = C.format_turns(spark.read.parquet(f"{sf}/conversations.parquet"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Python" not in plan and "Arrow" not in plan
