@@ -3,8 +3,10 @@
 Each document is measured within its row. Rule failures are added up by host
 (the ``source`` column); a host's failure rate of each rule is shrunk towards
 the rate of all hosts by a beta prior fitted to the hosts themselves, so a host
-of a few documents is not condemned by them. Hosts whose shrunk rate of any
-rule reaches ``host_rate`` are rejected with all their documents.
+of a few documents is not condemned by them. A host is rejected, with all its
+documents, if it is all but certain (``SURE`` standard deviations of its
+posterior) that its rate of some rule exceeds both ``TIMES`` the rate of all
+hosts and ``host_rate``.
 """
 
 from __future__ import annotations
@@ -24,8 +26,14 @@ WINDOW = 5
 MAX_SYMBOLS = 15
 #: Repeated lines, in percent of the lines with a word, from which a document fails the line rule.
 MAX_DUP_LINES = 50
-#: Shrunk failure rate from which a host is rejected.
-HOST_RATE = 0.5
+#: Failure rate that a rejected host exceeds.
+HOST_RATE = 0.25
+#: Times the rate of all hosts that a rejected host's rate exceeds.
+TIMES = 2.0
+#: Standard deviations of the posterior by which it does (one sided: 0.999).
+SURE = 3.09
+#: Documents that a prior counts for at most.
+MOST_STRENGTH = 100.0
 
 #: Rules, in the order of the host table's columns.
 RULES = ("short", "repeats", "symbols", "lines")
@@ -94,10 +102,12 @@ def base_failed() -> Column:
 
 
 def host_verdicts(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
-    """source, n_docs, each rule's shrunk failure rate and host_rejected of every host.
+    """source, n_docs, each rule's shrunk failure rate and least sure rate, and host_rejected of every host.
 
     The prior of a rule is a beta distribution with the mean and the spread of
     the hosts' rates (by moments, what sampling alone would spread taken off).
+    A host's posterior is the beta distribution with its own failures added;
+    the least sure rate lies SURE of its standard deviations below its mean.
     """
     rules = failures()
     hosts = measured.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(rules[r].cast("long")).alias(f"f_{r}") for r in RULES])
@@ -108,17 +118,20 @@ def host_verdicts(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFram
         totals += [F.sum(f"f_{r}").alias(f"sum_{r}"), F.var_pop(rate).alias(f"var_{r}")]
     totals.append(F.avg(1 / F.col("n_docs")).alias("inverse"))
     prior = hosts.agg(*totals).first()
-    shrunk = []
+    shrunk, sure, bad = [], [], F.lit(False)
     for r in RULES:
         docs = prior["docs"] or 0
         mean = (prior[f"sum_{r}"] or 0) / docs if docs else 0.0
         spread = mean * (1 - mean)
         # Spread between hosts beyond that of sampling; strength is the documents the prior counts for.
         between = max((prior[f"var_{r}"] or 0.0) - spread * (prior["inverse"] or 0.0), 0.0)
-        strength = min(max(spread / between - 1, 1.0), 1e4) if between > 0 else 1e4
-        shrunk.append(((F.col(f"f_{r}") + mean * strength) / (F.col("n_docs") + strength)).alias(f"rate_{r}"))
-    rated = hosts.select("source", "n_docs", *shrunk)
-    return rated.withColumn("host_rejected", F.greatest(*[F.col(f"rate_{r}") for r in RULES]) >= host_rate)
+        strength = min(max(spread / between - 1, 1.0), MOST_STRENGTH) if between > 0 else MOST_STRENGTH
+        rate = (F.col(f"f_{r}") + mean * strength) / (F.col("n_docs") + strength)
+        least = rate - SURE * F.sqrt(rate * (1 - rate) / (F.col("n_docs") + strength + 1))
+        shrunk.append(rate.alias(f"rate_{r}"))
+        sure.append(least.alias(f"sure_{r}"))
+        bad = bad | (F.col(f"sure_{r}") >= max(host_rate, min(TIMES * mean, (1 + mean) / 2)))
+    return hosts.select("source", "n_docs", *shrunk, *sure).withColumn("host_rejected", bad)
 
 
 def judge(docs: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
