@@ -10,6 +10,7 @@ from .bpe import encode_decode
 from .chat import format_turns
 from .common import table
 from .exact_dedup import deduplicate
+from .oracles import ORACLE_SQL
 from .packing import pack
 from .quality import judge
 from .simhash import near_duplicates
@@ -69,6 +70,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_turns(table(spark, sf_dir, "conversations"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -81,16 +84,3 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op9_exact_dedup": r"""
-        WITH plain AS (
-            SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS key
-            FROM documents
-        )
-        SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY key) AS group_size,
-            row_number() OVER best = 1 AS kept, sha256(key) AS text_sha256
-        FROM plain
-        WINDOW best AS (PARTITION BY key ORDER BY length(text) DESC, doc_id NULLS LAST)
-    """,
-}
