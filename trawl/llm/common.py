@@ -24,13 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a folder of our own is made.
+    and all runs on one machine a folder of our own is made; elsewhere executors
+    would not see it.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if not named:
         current = context._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="trawl-")
+        if current.isDefined():
+            named = current.get()
+        elif context.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="trawl-")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named)
     return named
@@ -67,6 +73,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key of more than one row in so many is joined apart.
+HOT_SHARES = 1000
+
+
+def meet(large: DataFrame, small: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``large`` joined to ``small``, a written table with each ``key`` once, ``weight`` telling how many of ``large``'s ``total`` rows have it.
+
+    Keys of more than a thousandth of the rows, a thousand at most, are
+    broadcast, so their rows stay where they are; the others are dealt by key.
+    """
+    hot = F.broadcast(small.where(F.col(weight) > total / HOT_SHARES).drop(weight))
+    return large.join(hot, key).unionByName(large.join(hot.select(key), key, "left_anti").join(small.drop(weight), key))
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), 0)
