@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import stretches
 from .subwords import SPACES, byte_symbols
 
 #: Characters of text that are encoded together.
@@ -259,7 +260,7 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = word_bpe(tokenizer)
-        for batch in batches:
+        for batch in stretches(batches, 1, STRETCH):
             counts, ids_digests, text_digests = [], [], []
             for ids, decoded in coder.encode_all(batch.column(1).to_pylist()):
                 counts.append(len(ids) // 4)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def long_id(df: DataFrame, column: str = "doc_id"):
-    """The id column as a long."""
-    return df[column].cast("long").alias(column)
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one, whatever store it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_remainder(column, parts: int):
@@ -101,3 +103,17 @@ def slices(batches):
     for batch in batches:
         for k in range(0, batch.num_rows, SLICE):
             yield batch.slice(k, SLICE)
+
+
+def stretches(batches, column: int, most: int):
+    """Batches cut into runs of rows with at most ``most`` bytes in ``column``, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for k, size in enumerate(sizes.tolist()):
+            if k > start and held + size > most:
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from xxhash import xxh64_intdigest
 
-from .common import cut, shared_folder, slices
+from .common import cut, drop_folder, meet, shared_folder, slices
 
 #: Digests in a memtable.
 MEMTABLE = 100_000
@@ -47,8 +47,6 @@ DIGITS = 64
 HASHES, BITS_A_KEY = 4, 12
 #: Bits of the largest filter of hits (16 MB); beyond its load more rows are verified than need be, none fewer.
 MOST_BITS = 1 << 27
-#: A digest of more than one row in so many is joined apart.
-HOT_SHARES = 1000
 
 _DELETED = b" \t\n\x0b\x0c\r"
 _ENTRY = "digest string, n long, points long, doc_id long"
@@ -202,7 +200,7 @@ class DigestIndex:
         if len(self.runs) > 1:
             number = self._write(self._read(self.runs).select(F.explode("entries").alias("e")).select("e.*"))
             for old in self.runs:
-                self._delete(f"{self.folder}/run-{old}")
+                drop_folder(self.spark, f"{self.folder}/run-{old}")
             self.runs = [number]
 
     def _found(self, asked: DataFrame, runs: list[int]) -> DataFrame:
@@ -246,13 +244,9 @@ class DigestIndex:
         merged = self._found(asked.select("digest").distinct(), self.runs).groupBy("digest").agg(F.sum("n").alias("n"), best.alias("best"))
         return merged.select("digest", "n", F.col("best.doc_id").alias("doc_id"), (-F.col("best.points")).alias("points"))
 
-    def _delete(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
     def drop(self) -> None:
         """Delete the index's folder."""
-        self._delete(self.folder)
+        drop_folder(self.spark, self.folder)
 
 
 def find_hits(rows: DataFrame, memtable: int = MEMTABLE) -> tuple[int, DataFrame]:
@@ -355,8 +349,7 @@ def deduplicate(docs: DataFrame, digits: int = DIGITS, memtable: int = MEMTABLE)
     verified = texts.where("texts = 1").join(known, "of", "left").select("of", F.coalesce("n", "size").alias("group_size"), F.when(F.col("n").isNotNull(), F.col("doc_id")).otherwise(F.col("own")).alias("keep_id"), "stays")
     verified = cut(verified)
     rows = parts.found.select("uid", "doc_id", "sha", "of")
-    hot = F.broadcast(verified.where(F.col("group_size") > parts.total / HOT_SHARES))  # at most as many rows as shares
-    joined = rows.join(hot, "of").unionByName(rows.join(hot.select("of"), "of", "left_anti").join(verified, "of"))
+    joined = meet(rows, verified.withColumn("rows", F.col("group_size")), "of", "rows", parts.total)
     # Of texts that share a digest, rows are joined by the whole text.
     apart = parts.found.join(texts.where("texts > 1").select("of"), "of", "left_semi")
     classes = parts.classes().join(texts.where("texts > 1").select("of"), "of", "left_semi")
