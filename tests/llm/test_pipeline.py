@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_near_copies import brute_components
 from trawl.llm import exact_dedup, packing, quality, simhash, toxicity
 
 
@@ -82,7 +83,8 @@ def test_run_equals_its_stages(spark, sf):
         elif name == "exact_dedup":
             assert ids == {r.doc_id for r in exact_dedup.deduplicate(before).where("kept").collect()}
         else:
-            assert ids == {r.component_id for r in simhash.near_duplicates(before).collect()}
+            near = brute_components([(r.doc_id, r.text) for r in before.collect()])
+            assert ids == {component for _, component in near}
     assert counts == sorted(counts, reverse=True) and counts[-1] > counts[0] // 3
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
