@@ -209,7 +209,10 @@ def bm25_topk(spark, sf):
     return _run(lexical.search(lexical.build(passages(spark, sf)), benchmark_queries(spark, sf)))
 
 
-@query(f"WITH {_bm25()} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(
+    f"WITH w AS (SELECT doc_id, {_tokens('text')} AS words FROM documents), df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(words)) AS term FROM w) GROUP BY 1), st AS (SELECT count(*) AS n FROM w), "
+    "raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st), low AS (SELECT 0.25 * avg(raw) AS floor FROM raw) SELECT term, df, round(CASE WHEN raw < 0 THEN floor ELSE raw END, 6) AS idf FROM raw, low"
+)
 def bm25_term_stats(spark, sf):
     return lexical.build(passages(spark, sf)).terms.select("term", "df", *r6("idf"))
 
@@ -562,7 +565,18 @@ def chunk_chars(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(text.chunk(F.col("text"), 1000, 200, unit="chars")).alias("position", "chunk"))
 
 
-@query(None)
+#: Python's white space, for RE2.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(column: str) -> str:
+    return f"regexp_replace({column}, '\\A{_SPACE}+|{_SPACE}+\\z', '', 'g')"
+
+
+_SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_SPACE}+([A-Z\"])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: {_strip('s')}), lambda s: s <> '')"
+
+
+@query(f"SELECT doc_id, CAST(i AS INTEGER) AS position, array_to_string(s[i * 4 + 1 : i * 4 + 5], ' ') AS chunk FROM (SELECT doc_id, s, unnest(range(0, CAST(ceil(len(s) / 4.0) AS BIGINT))) AS i FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents))")
 def sentence_chunks(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(text.chunk(F.col("text"), 5, 1, unit="sentences")).alias("position", "chunk"))
 
@@ -578,7 +592,7 @@ _JACCARD = "CASE WHEN len(list_distinct(list_concat(ta, tb))) > 0 THEN len(list_
 
 @query(
     f"WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y, {_tokens('a.text')} AS ta, {_tokens('b.text')} AS tb FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1) "
-    f"SELECT conv_id, turn, round({_JACCARD}, 6) AS jaccard, (lower(trim(x)) = lower(trim(y)) OR (length(trim(x)) > 0 AND length(trim(y)) > 0 AND (contains(lower(trim(x)), lower(trim(y))) OR contains(lower(trim(y)), lower(trim(x))))) OR {_JACCARD} >= 0.9) AS overlapping FROM p"
+    f"SELECT conv_id, turn, round({_JACCARD}, 6) AS jaccard, (sx = sy OR (length(sx) > 0 AND length(sy) > 0 AND (contains(sx, sy) OR contains(sy, sx))) OR {_JACCARD} >= 0.9) AS overlapping FROM (SELECT *, lower({_strip('x')}) AS sx, lower({_strip('y')}) AS sy FROM p)"
 )
 def text_overlap_pairs(spark, sf):
     turns = table(spark, sf, "conversations")
@@ -592,14 +606,21 @@ def english_terms(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(analysis.english(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+#: The url namespace's 16 bytes; a name-based id is the SHA-1 of these and the name, with version and variant set.
+_UUID5 = "sha1(unhex('6BA7B8119DAD11D180B400C04FD430C8') || encode(passage_id))"
+
+
+@query(
+    f"SELECT passage_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || format('{{:x}}', (('0x' || substr(h, 17, 1))::INT & 3) | 8) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id "
+    f"FROM (SELECT passage_id, {_UUID5} AS h FROM (SELECT CAST(doc_id AS VARCHAR) AS passage_id FROM documents))"
+)
 def uuid5_ids(spark, sf):
     return passages(spark, sf).select("passage_id", analysis.uuid5("passage_id").alias("point_id"))
 
 
-@query("SELECT CAST(item_id AS VARCHAR) AS query_id, sha256(trim(text) || '|hybrid|10') AS cache_key FROM benchmark")
+@query(f"SELECT CAST(item_id AS VARCHAR) AS query_id, sha256({_strip('text')} || '|hybrid|10') AS cache_key FROM benchmark")
 def cache_key_sha256(spark, sf):
-    return benchmark_queries(spark, sf).select("query_id", scores.cache_key(F.trim("query_text"), F.lit("hybrid"), F.lit("10")).alias("cache_key"))
+    return benchmark_queries(spark, sf).select("query_id", scores.cache_key(text.strip(F.col("query_text")), F.lit("hybrid"), F.lit("10")).alias("cache_key"))
 
 
 @query(f"WITH {_DQ}, {_dense()} SELECT query_id, passage_id, round(greatest(0, least(1, (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-10))), 6) AS score FROM run_full WINDOW w AS (PARTITION BY query_id)")
@@ -720,8 +741,8 @@ def latency_bucket_quantile(spark, sf):
 
 
 @query(
-    f"WITH m AS (SELECT {_START} AS window_start, 100.0::DOUBLE * sum((event_type = 'error')::INT) / count(*) AS p FROM events GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY window_start) - sum((p > 5)::INT) OVER (ORDER BY window_start) AS island FROM m) "
-    "SELECT min(window_start) AS alert_start, max(window_start) AS alert_end, count(*) AS n_windows FROM i WHERE p > 5 GROUP BY island HAVING count(*) >= 2"
+    f"WITH m AS (SELECT {_START} AS window_start, 100.0::DOUBLE * sum((event_type = 'error')::INT) / count(*) AS p FROM events GROUP BY 1), i AS (SELECT *, epoch(window_start) / 300 - row_number() OVER (ORDER BY window_start) AS island FROM m WHERE p > 5) "
+    "SELECT min(window_start) AS alert_start, max(window_start) AS alert_end, count(*) AS n_windows FROM i GROUP BY island HAVING count(*) >= 2"
 )
 def alert_for_duration(spark, sf):
     return windows.alerts(windows.error_share(table(spark, sf, "events")), "error_percent > 5", 2)
@@ -746,6 +767,8 @@ def _folder(spark: SparkSession, name: str) -> str:
     if not named:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="trawl-")
     return f"{named}/{name}-{uuid.uuid4().hex}"
 

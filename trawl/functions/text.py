@@ -14,12 +14,12 @@ WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Words and single marks.
 TOKENS = r"(?U)\w+|[^\w\s]"
 
-# Typographic characters and their plain counterparts.
+# Typographic characters and their plain counterparts, and the patterns of tags, urls, controls and sentence breaks.
 TYPOGRAPHY = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "..."}
 TAGS = r"<[^>]+>"
-URLS = r"(?i)(?:https?://|www\.|ftp://)\S+"
+URLS = r"(?iU)(?:https?://|www\.|ftp://)[^\s\x1c-\x1f]+"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
-SENTENCE_BREAK = r'(?<=[.!?])\s+(?=[A-Z"])'
+SENTENCE_BREAK = r'(?U)(?<=[.!?])[\s\x1c-\x1f]+(?=[A-Z"])'
 
 
 def let(value: Column, body) -> Column:
@@ -27,6 +27,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def strip(text: Column) -> Column:
+    """``text`` without white space at its ends, as Python's ``str.strip`` does."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def tokenise(text: Column) -> Column:
     """Lower-cased words between white space; a null text has none."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITESPACE), lambda w: w != "")
@@ -146,7 +151,7 @@ def chunk(text: Column, size: int, overlap: int = 0, *, unit: str = "words", min
 
 def sentences(text: Column) -> Column:
     """Pieces between a sentence's end and a capital or a quote."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_BREAK), strip), lambda s: s != "")
 
 
 def word_count(text: Column) -> Column:
@@ -165,7 +170,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def overlaps(a: Column, b: Column, threshold: float = 0.9) -> Column:
     """Equal but for case and outer space, one within the other, or of token sets alike."""
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
+    x, y = F.lower(strip(a)), F.lower(strip(b))
     within = (F.char_length(x) > 0) & (F.char_length(y) > 0) & (F.contains(x, y) | F.contains(y, x))
     return (x == y) | within | (jaccard(tokenise(a), tokenise(b)) >= threshold)
 

@@ -100,16 +100,39 @@ def aggregate(by_query: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     return by_query.agg(F.count(F.lit(1)).alias("n_queries"), *[F.avg(n).alias(n) for n in names], F.avg("ap_retrieved").alias("map")).where("n_queries > 0")
 
 
+#: Values among which the one at an index is found by sorting.
+SORTED = 100_000
+
+
 def index_percentile(df: DataFrame, value: str, share: float, by: str | None = None) -> DataFrame:
-    """The value at index min(floor(share * n), n - 1) of the sorted values."""
-    keys = [by] if by else []
-    sized = Window.partitionBy(*keys) if keys else None
-    if sized is None:
-        n = df.where(F.col(value).isNotNull()).count()
-        place = min(int(share * n), max(n - 1, 0))
-        return df.where(F.col(value).isNotNull()).select(value).orderBy(value).offset(place).limit(1)
-    numbered = df.where(F.col(value).isNotNull()).withColumns({"nth": F.row_number().over(sized.orderBy(value)), "all": F.count(F.lit(1)).over(sized)})
-    return numbered.where(F.col("nth") == F.least(F.floor(F.col("all") * share), F.col("all") - 1) + 1).select(*keys, value)
+    """The value at index min(floor(share * n), n - 1) of the sorted values; nulls don't count.
+
+    Without ``by`` a range that holds the index is narrowed by approximate
+    quantiles and exact counts until it has SORTED rows or one value. With
+    ``by`` equal values are counted first, so a group's rows are its distinct
+    values.
+    """
+    known = df.where(F.col(value).isNotNull())
+    if by:
+        counted = known.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+        own = Window.partitionBy(by)
+        up_to = F.sum("n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        placed = counted.select(by, value, "n", up_to.alias("up_to"), F.sum("n").over(own).alias("all"))
+        index = F.least(F.floor(F.col("all") * share), F.col("all") - 1)
+        return placed.where((index >= F.col("up_to") - F.col("n")) & (index < F.col("up_to"))).select(by, value)
+    n = known.count()
+    place = min(int(share * n), max(n - 1, 0))
+    inside, left, kind = known.select(value), n, known.schema[value].dataType
+    while left > SORTED:
+        at, spread = (place + 0.5) / left, 0.005
+        low, high = inside.agg(F.percentile_approx(value, [max(0.0, at - spread), min(1.0, at + spread)], 10_000)).first()[0]
+        below, within = inside.agg(F.sum((F.col(value) < F.lit(low).cast(kind)).cast("long")), F.sum(F.col(value).between(F.lit(low).cast(kind), F.lit(high).cast(kind)).cast("long"))).first()
+        if not below <= place < below + within or within >= left:
+            break  # the approximation was off; what is left is sorted
+        inside, left, place = inside.where(F.col(value).between(F.lit(low).cast(kind), F.lit(high).cast(kind))), within, place - below
+        if low == high:
+            return inside.limit(1)
+    return inside.orderBy(value).offset(place).limit(1)
 
 
 def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
@@ -117,9 +140,12 @@ def histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     return df.groupBy(F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def violations(metrics: DataFrame, names: list[str]) -> DataFrame:
-    """Rows with a metric that is null or not within 0 and 1."""
+def violations(metrics: DataFrame, names: list[str], ordered: tuple[tuple[str, ...], ...] = ()) -> DataFrame:
+    """Rows with a metric that is null or not within 0 and 1, or with columns of ``ordered`` that don't rise, as latency percentiles and interval bounds do."""
     bad = F.lit(False)
     for name in names:
         bad = bad | ~F.coalesce(F.col(name).between(0, 1), F.lit(False))
+    for row in ordered:
+        for low, high in zip(row, row[1:]):
+            bad = bad | F.coalesce(F.col(low) > F.col(high), F.lit(False))
     return metrics.where(bad)

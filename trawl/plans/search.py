@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import cache_key
+from ..functions.text import strip
 from ..operators import dense, lexical
 from ..operators import fusion as fusing
 from ..operators.ranking import non_blank, ranked, with_payload
@@ -61,7 +62,7 @@ class Searcher:
         """The search's rows with a key of all parameters, kept in Spark's cache."""
         name = f"{mode}|{k}|{rerank_top_n}|{self.fusion}|{self.alpha}|{self.constant}|{queries.semanticHash()}"
         if name not in self.results:
-            keys = queries.select("query_id", cache_key(F.trim("query_text"), F.lit(mode), F.lit(str(k)), F.lit(str(rerank_top_n))).alias("cache_key"))
+            keys = queries.select("query_id", cache_key(strip(F.col("query_text")), F.lit(mode), F.lit(str(k)), F.lit(str(rerank_top_n))).alias("cache_key"))
             self.results[name] = self.search(queries, mode, k, rerank_top_n=rerank_top_n).join(keys, "query_id").cache()
         return self.results[name]
 

@@ -34,11 +34,12 @@ def read_through(spark: SparkSession, path: str, compute: Callable[[], DataFrame
     return spark.read.parquet(path)
 
 
-def passages(raw: DataFrame, mode: str = "full", *, qrels: DataFrame | None = None, limit: int | None = None, seed: int = 42) -> DataFrame:
+def passages(raw: DataFrame, mode: str = "full", *, qrels: DataFrame | None = None, limit: int | None = None, seed: int = 42, order: str | None = None) -> DataFrame:
     """Passages (passage_id, text, title, ...) of a collection.
 
     ``dev``: judged ones, up to ``limit``; ``small``: a repeatable sample of
-    ``limit``; ``full``: the first of each id.
+    ``limit``; ``full``: the first of each id, by ``order`` where given, else as
+    the rows are read.
     """
     if mode == "dev":
         if qrels is None:
@@ -47,7 +48,9 @@ def passages(raw: DataFrame, mode: str = "full", *, qrels: DataFrame | None = No
     if mode == "small":
         return raw.orderBy(F.xxhash64(F.lit(seed), F.col("passage_id")), "passage_id").limit(limit or SMALL)
     if mode == "full":
-        return first_seen(raw, "passage_id", "text")
+        if order:
+            return first_seen(raw, "passage_id", order)
+        return first_seen(raw.withColumn("read at", F.monotonically_increasing_id()), "passage_id", "read at").drop("read at")
     raise ValueError(f"unknown mode {mode!r}")
 
 

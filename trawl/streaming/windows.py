@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Upper bounds of latency buckets.
 BUCKETS = (10.0, 25.0, 50.0, 75.0, 100.0)
+#: Windows in a stretch of time within which islands are found.
+STRETCH = 4096
 
 
 def rates(events: DataFrame, length: str = "5 minutes", slide: str | None = None, by: str = "event_type") -> DataFrame:
@@ -37,15 +39,24 @@ def bucket_quantile(events: DataFrame, share: float, by: str = "event_type", val
     return table.select(by, out.alias("quantile"))
 
 
-def alerts(measured: DataFrame, condition: str, hold: int, order: str = "window_start") -> DataFrame:
-    """Islands of at least ``hold`` consecutive windows for which ``condition`` holds: alert_start, alert_end, n_windows.
+def alerts(measured: DataFrame, condition: str, hold: int, order: str = "window_start", step: int = 300) -> DataFrame:
+    """Islands of at least ``hold`` windows, ``step`` seconds apart, for which ``condition`` holds: alert_start, alert_end, n_windows.
 
-    Windows, not events, are numbered; there are as many as the time is long.
+    A window that is missing, for want of events, breaks an island. Islands are
+    found within stretches of STRETCH steps; only those that touch a stretch's
+    edge, two of each at most, are then put together over all time.
     """
-    line = Window.orderBy(order)
-    rows = measured.withColumn("on", F.expr(condition)).withColumn("island", F.row_number().over(line) - F.sum(F.col("on").cast("int")).over(line))
-    islands = rows.where("on").groupBy("island").agg(F.min(order).alias("alert_start"), F.max(order).alias("alert_end"), F.count(F.lit(1)).alias("n_windows"))
-    return islands.where(F.col("n_windows") >= hold).drop("island")
+    place = F.floor(F.unix_timestamp(order) / step)
+    on = measured.where(F.expr(condition)).select(order, place.alias("place"), F.floor(place / STRETCH).alias("stretch"))
+    within = Window.partitionBy("stretch").orderBy("place")
+    cut = on.withColumn("island", F.col("place") - F.row_number().over(within))
+    parts = cut.groupBy("stretch", "island").agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+    edge = (F.pmod("first", F.lit(STRETCH)) == 0) | (F.pmod("last", F.lit(STRETCH)) == STRETCH - 1)
+    line = Window.orderBy("first")
+    joined = parts.where(edge).withColumn("new", (F.col("first") != F.lag("last", 1, -2).over(line) + 1).cast("int"))
+    joined = joined.withColumn("whole", F.sum("new").over(line)).groupBy("whole").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("n"))
+    both = parts.where(~edge).select("a", "b", "n").unionByName(joined.select("a", "b", "n"))
+    return both.where(F.col("n") >= hold).select(F.col("a").alias("alert_start"), F.col("b").alias("alert_end"), F.col("n").alias("n_windows"))
 
 
 def health(components: DataFrame) -> DataFrame:
