@@ -7,18 +7,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import dot, euclid, unit
 from .ranking import ranked
 
-#: Queries that are held together against all rows.
+#: Queries that are multiplied with a batch of rows at once.
 BLOCK = 4096
+#: Bytes of query vectors that go to a task together.
+HELD = 64_000_000
 #: Vectors that k-means is fitted to at most (about); every vector is indexed.
 FIT_ROWS = 200_000
-#: Rows up to which ``method="auto"`` searches exactly.
-FULL_SCAN = 10_000
 
 METRICS = ("cosine", "dot", "euclid")
 _RUN = "query_id string, passage_id string, score double"
@@ -38,54 +38,75 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), width)
 
 
+def _asked(queries: DataFrame, metric: str) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Ids and matrix of the queries, HELD bytes of vectors at a time."""
+    first = queries.select(F.size("embedding")).first()
+    if first is None:
+        return
+    groups = -(-queries.count() * first[0] * 8 // HELD)
+    for part in range(groups):
+        rows = (queries if groups == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == part)).select("query_id", "embedding").collect()
+        if rows:
+            matrix = np.array([r["embedding"] for r in rows], np.float64)
+            yield [r["query_id"] for r in rows], _unit_rows(matrix) if metric == "cosine" else matrix
+
+
+def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, names: np.ndarray, vectors: np.ndarray, k: int, metric: str, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query ids, passage ids and scores of at least the best ``k`` rows of each query; all ties of the last stay, to be settled by id."""
+    down = metric != "euclid"
+    if down:
+        scores = matrix @ vectors.T
+    else:
+        scores = np.sqrt(np.maximum(((matrix**2).sum(1)[:, None] - 2 * matrix @ vectors.T) + (vectors**2).sum(1), 0))
+    if exclude_self:
+        scores[ids[:, None] == names[None, :]] = -np.inf if down else np.inf
+    compared = np.round(-scores if down else scores, 9)
+    last = min(k, compared.shape[1]) - 1
+    edge = np.partition(compared, last, axis=1)[:, last]
+    q, p = np.nonzero((compared <= edge[:, None]) & np.isfinite(compared))
+    return ids[q], names[p], scores[q, p]
+
+
+def _to_batch(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    q, p, scores = found
+    return pa.RecordBatch.from_arrays([pa.array(q.tolist(), pa.string()), pa.array(p.tolist(), pa.string()), pa.array(scores, pa.float64())], names=["query_id", "passage_id", "score"])
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int = 10, *, metric: str = "dot", exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """The exact best ``k`` of each query: query_id, passage_id, score, rank.
 
-    ``queries``: query_id, embedding; ``corpus``: passage_id, embedding. Each
-    block of queries goes to the tasks as a matrix of bounded size; a task
-    multiplies it with a batch of rows and keeps ``k`` rows a query, so what is
-    shuffled grows with queries and tasks, not with pairs. Euclid ranks by
-    ascending distance.
+    ``queries``: query_id, embedding; ``corpus``: passage_id, embedding. Queries
+    go to the tasks as matrices of HELD bytes at most, one scan of the corpus
+    for each; a task multiplies ``block`` queries at a time with a batch of rows
+    and keeps ``k`` rows a query, so what is shuffled grows with queries and
+    tasks, not with pairs. Euclid ranks by ascending distance.
     """
     metric = _metric(metric)
-    down = metric != "euclid"
-    total = queries.count()
-    blocks = max(1, -(-total // block))
     legs = None
-    for part in range(blocks):
-        rows = (queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == part)).select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        ids = [r["query_id"] for r in rows]
-        matrix = np.array([r["embedding"] for r in rows], np.float64)
-        if metric == "cosine":
-            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+    for ids, matrix in _asked(queries, metric):
+        held = corpus.sparkSession.sparkContext.broadcast((np.array(ids, object), matrix))
+
+        def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, matrix = held.value
             for batch in batches:
                 if not len(batch):
                     continue
                 names = np.array(batch.column(0).to_pylist(), object)
                 vectors = _matrix(batch.column(1), matrix.shape[1])
                 if metric == "cosine":
-                    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                if metric == "euclid":
-                    scores = np.sqrt(np.maximum(((matrix**2).sum(1)[:, None] - 2 * matrix @ vectors.T) + (vectors**2).sum(1), 0))
-                else:
-                    scores = matrix @ vectors.T
-                if exclude_self:
-                    scores[np.array(ids, object)[:, None] == names[None, :]] = -np.inf if down else np.inf
-                compared = np.round(-scores if down else scores, 9)
-                # All rows at least as good as the k-th stay, so ties are settled by id later.
-                edge = np.partition(compared, min(k, compared.shape[1]) - 1, axis=1)[:, min(k, compared.shape[1]) - 1]
-                q, p = np.nonzero((compared <= edge[:, None]) & np.isfinite(compared))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], pa.string()), pa.array(names[p].tolist(), pa.string()), pa.array(scores[q, p])], names=["query_id", "passage_id", "score"])
+                    vectors = _unit_rows(vectors)
+                for at in range(0, len(ids), block):
+                    yield _to_batch(_best(ids[at : at + block], matrix[at : at + block], names, vectors, k, metric, exclude_self))
 
         leg = corpus.select("passage_id", "embedding").mapInArrow(best, _RUN)
         legs = leg if legs is None else legs.unionByName(leg)
     if legs is None:
         legs = corpus.sparkSession.createDataFrame([], _RUN)
-    return ranked(legs, k, ascending=not down)
+    return ranked(legs, k, ascending=metric == "euclid")
 
 
 def search_native(queries: DataFrame, corpus: DataFrame, k: int = 10, *, metric: str = "dot", exclude_self: bool = False) -> DataFrame:
@@ -105,23 +126,55 @@ class CellIndex:
 
     vectors: DataFrame  # passage_id, embedding, cell
     centres: np.ndarray
-
-    def search(self, queries: DataFrame, k: int = 10, *, probes: int = 10, exclude_self: bool = False) -> DataFrame:
-        """Exact inner products within the ``probes`` nearest cells of each query."""
-        centres, width = self.centres, self.centres.shape[1]
-
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                vectors = _matrix(batch.column(1), width)
-                distance = (centres**2).sum(1) - 2 * vectors @ centres.T
-                cells = np.argsort(distance, axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["query_id", "q", "cells"])
-
-        asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).mapInArrow(nearest, "query_id string, q array<double>, cells array<int>")
-        pairs = self.vectors.join(asked.select("query_id", "q", F.explode("cells").alias("cell")), "cell")
-        if exclude_self:
-            pairs = pairs.where("query_id <> passage_id")
-        return ranked(pairs.select("query_id", "passage_id", dot(F.col("q"), F.col("embedding")).alias("score")), k)
+    probes: int = 10
+    normalise: bool = False
+
+    def save(self, folder: str) -> None:
+        """Write vectors, a folder a cell, and centres."""
+        spark = self.vectors.sparkSession
+        self.vectors.write.mode("overwrite").partitionBy("cell").parquet(f"{folder}/vectors")
+        rows = [(i, c.tolist(), self.probes, self.normalise) for i, c in enumerate(self.centres)]
+        spark.createDataFrame(rows, "cell int, centre array<double>, probes int, normalise boolean").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str, *, probes: int | None = None) -> CellIndex:
+        """A saved index; ``probes`` overrides how many cells are searched."""
+        rows = spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()
+        vectors = spark.read.schema("passage_id string, embedding array<float>, cell int").parquet(f"{folder}/vectors")
+        return cls(vectors, np.array([r["centre"] for r in rows]), probes or rows[0]["probes"], rows[0]["normalise"])
+
+    def size(self) -> int:
+        return self.vectors.count()
+
+    def search(self, queries: DataFrame, k: int = 10, *, probes: int | None = None, exclude_self: bool = False) -> DataFrame:
+        """Exact inner products within the ``probes`` nearest cells of each query.
+
+        As in ``search``, matrices of queries go to the tasks; a task multiplies
+        the rows of a cell with the queries that probe it. Only cells that some
+        query probes are read.
+        """
+        centres, reach, legs = self.centres, probes or self.probes, None
+        for ids, matrix in _asked(queries, "cosine" if self.normalise else "dot"):
+            distance = (centres**2).sum(1) - 2 * matrix @ centres.T
+            nearest = np.argsort(distance, axis=1, kind="stable")[:, :reach]
+            held = self.vectors.sparkSession.sparkContext.broadcast((np.array(ids, object), matrix, nearest))
+
+            def best(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+                ids, matrix, nearest = held.value
+                for batch in batches:
+                    names, cells = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy(zero_copy_only=False)
+                    vectors = _matrix(batch.column(1), matrix.shape[1]) if len(batch) else None
+                    for cell in np.unique(cells):
+                        asks, here = (nearest == cell).any(1), cells == cell
+                        if asks.any():
+                            yield _to_batch(_best(ids[asks], matrix[asks], names[here], vectors[here], k, "dot", exclude_self))
+
+            probed = self.vectors.where(F.col("cell").isin(np.unique(nearest).tolist()))
+            leg = probed.select("passage_id", "embedding", "cell").mapInArrow(best, _RUN)
+            legs = leg if legs is None else legs.unionByName(leg)
+        if legs is None:
+            legs = self.vectors.sparkSession.createDataFrame([], _RUN)
+        return ranked(legs, k)
 
 
 def build_cells(corpus: DataFrame, cells: int = 100, *, seed: int = 42, fit_rows: int = FIT_ROWS) -> CellIndex:
@@ -146,10 +199,15 @@ def build_cells(corpus: DataFrame, cells: int = 100, *, seed: int = 42, fit_rows
     return CellIndex(vectors, centres)
 
 
-def auto_search(queries: DataFrame, corpus: DataFrame, k: int = 10, *, metric: str = "dot", full_scan: int = FULL_SCAN, cells: int = 100, probes: int = 10) -> DataFrame:
-    """Exact below ``full_scan`` rows, by cells above."""
-    if corpus.count() <= full_scan or _metric(metric) == "euclid":
+def auto_search(queries: DataFrame, corpus: DataFrame, k: int = 10, *, metric: str = "dot", method: str = "exact", cells: int = 100, probes: int = 10) -> DataFrame:
+    """``method``: exact (any metric), or cells (approximate; not euclid), as the caller says, whatever the corpus' size."""
+    metric = _metric(metric)
+    if method == "exact":
         return search(queries, corpus, k, metric=metric)
-    if _metric(metric) == "cosine":
-        corpus, queries = corpus.withColumn("embedding", unit(F.col("embedding"))), queries.withColumn("embedding", unit(F.col("embedding")))
-    return build_cells(corpus, cells).search(queries, k, probes=probes)
+    if method != "cells" or metric == "euclid":
+        raise ValueError("method is exact, or cells with dot or cosine")
+    if metric == "cosine":
+        corpus = corpus.withColumn("embedding", unit(F.col("embedding")))
+    index = build_cells(corpus, cells)
+    index.probes, index.normalise = probes, metric == "cosine"
+    return index.search(queries, k)

@@ -13,72 +13,97 @@ from .corpus import exists
 
 
 class KeyedTable:
-    """One row per key in a folder of versions.
+    """One row per key in a folder of versions, dealt to buckets by key.
 
-    A write makes a new version beside the old one and then names it in the
-    pointer file, so a reader sees one or the other and a failed write leaves
-    nothing. A key's last row by ``order`` counts.
+    A write makes a new version of the buckets that it touches and then renames
+    a new pointer file over the old one, so a reader sees one state or the
+    other, and a failed write leaves nothing. What the last write has replaced
+    stays until the next, for readers that still hold it. A key's last row by
+    ``order`` counts.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str = "passage_id", order: str | None = None):
-        self.spark, self.folder, self.schema, self.key, self.order = spark, folder, schema, key, order
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._files = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _version(self) -> str | None:
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str = "passage_id", order: str | None = None, buckets: int = 16):
+        self.spark, self.folder, self.schema, self.key, self.order, self.buckets = spark, folder, schema, key, order, buckets
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path
+        conf = spark._jsc.hadoopConfiguration()
+        root = hadoop.Path(folder)
+        self._files = root.getFileSystem(conf)
+        self._renames = hadoop.FileContext.getFileContext(root.makeQualified(self._files.getUri(), self._files.getWorkingDirectory()).toUri(), conf)
+        self._over = spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+        self._over[0] = hadoop.Options.Rename.OVERWRITE
+
+    def _state(self) -> dict | None:
+        """buckets, and the version that holds each; before: the same of the last state."""
         if not exists(self.spark, f"{self.folder}/current"):
             return None
         stream = self._files.open(self._path(f"{self.folder}/current"))
         try:
-            return stream.readUTF()
+            return json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
 
-    def _point(self, version: str) -> None:
-        stream = self._files.create(self._path(f"{self.folder}/current"), True)
-        stream.writeUTF(version)
+    def _point(self, state: dict) -> None:
+        fresh = self._path(f"{self.folder}/pointer-{uuid.uuid4().hex}")
+        stream = self._files.create(fresh, False)
+        stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
+        self._renames.rename(fresh, self._path(f"{self.folder}/current"), self._over)
 
     def create(self, *, replace: bool = False) -> bool:
         """Make the table; False if it exists and stays."""
-        if self._version() is not None and not replace:
+        state = self._state()
+        if state is not None and not replace:
             return False
-        self._write(self.spark.createDataFrame([], self.schema))
+        self._files.mkdirs(self._path(self.folder))
+        self._point({"buckets": self.buckets, "parts": {}, "before": state["parts"] if state else {}})
         return True
 
     def drop(self) -> bool:
         """Delete the table; a missing one is no error."""
         return self._files.delete(self._path(self.folder), True)
 
+    def _rows(self, state: dict | None, only: list[int] | None = None) -> DataFrame:
+        parts = (state or {}).get("parts", {})
+        paths = [f"{self.folder}/{v}/bucket={k}" for k, v in sorted(parts.items()) if only is None or int(k) in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
     def read(self) -> DataFrame:
-        version = self._version()
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}")
+        return self._rows(self._state())
 
     def count(self) -> int:
         return self.read().count()
 
-    def _write(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.select(*self.spark.createDataFrame([], self.schema).columns).write.parquet(f"{self.folder}/{version}")
-        before = self._version()
-        self._point(version)
-        if before:
-            self._files.delete(self._path(f"{self.folder}/{before}"), True)
-
     def upsert(self, rows: DataFrame) -> None:
-        """Replace or add rows by key; the same rows again change nothing."""
-        order = F.col(self.order).desc() if self.order else F.lit(0)
-        marked = rows.withColumn("from table", F.lit(0)).unionByName(self.read().withColumn("from table", F.lit(1)), allowMissingColumns=True)
-        place = F.row_number().over(Window.partitionBy(self.key).orderBy(order, "from table", F.to_json(F.struct(*rows.columns))))
-        self._write(marked.withColumn("place", place).where("place = 1"))
+        """Replace or add rows by key; the same rows again change nothing. Only buckets with such keys are written anew."""
+        state = self._state() or {"buckets": self.buckets, "parts": {}}
+        parts, count = state["parts"], state["buckets"]
+        bucket = F.pmod(F.xxhash64(F.col(self.key)), F.lit(count)).cast("int")
+        rows = rows.persist()
+        try:
+            touched = sorted(r[0] for r in rows.select(bucket).distinct().collect())  # at most as many as buckets
+            if not touched and state.get("before") is not None:
+                return
+            order = F.col(self.order).desc() if self.order else F.lit(0)
+            marked = rows.withColumn("from table", F.lit(0)).unionByName(self._rows(state, touched).withColumn("from table", F.lit(1)), allowMissingColumns=True)
+            place = F.row_number().over(Window.partitionBy(self.key).orderBy(order, "from table", F.to_json(F.struct(*rows.columns))))
+            names = self.spark.createDataFrame([], self.schema).columns
+            version = f"v-{uuid.uuid4().hex}"
+            marked.withColumn("place", place).where("place = 1").select(*names, bucket.alias("bucket")).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{version}")
+        finally:
+            rows.unpersist()
+        self._point({"buckets": count, "parts": {**parts, **{str(k): version for k in touched}}, "before": parts})
+        kept = {version, *parts.values()}
+        for status in self._files.listStatus(self._path(self.folder)):
+            name = status.getPath().getName()
+            if name.startswith("v-") and name not in kept:
+                self._files.delete(status.getPath(), True)
 
     def insert_absent(self, rows: DataFrame, by: str | None = None) -> int:
         """Add rows whose ``by`` value the table lacks; returns how many there were."""
         new = rows.join(self.read(), by or self.key, "left_anti").dropDuplicates([by or self.key])
         before = self.count()
-        self._write(self.read().unionByName(new, allowMissingColumns=True))
+        self.upsert(new)
         return self.count() - before
 
 
@@ -99,24 +124,30 @@ class ExperimentStore:
         self.spark, self.folder = spark, folder
         self.experiments = KeyedTable(spark, f"{folder}/experiments", S.EXPERIMENTS, "experiment_id")
         self.results = KeyedTable(spark, f"{folder}/experiment_results", S.EXPERIMENT_RESULTS, "experiment_id")
-        self.per_query = KeyedTable(spark, f"{folder}/per_query_metrics", S.PER_QUERY, "row_key")
 
     def seed(self) -> int:
         rows = [(str(uuid.uuid5(uuid.NAMESPACE_URL, name)), name, mode, model, json.dumps({"mode": mode}), [mode]) for name, mode, model in SEED_EXPERIMENTS]
         df = self.spark.createDataFrame(rows, "experiment_id string, name string, mode string, crossencoder_model string, config_json string, tags array<string>").withColumn("created_at", F.current_timestamp())
         return self.experiments.insert_absent(df, "name")
 
-    def add(self, name: str, mode: str, config: dict, result: dict, by_query: DataFrame, *, reranker: str | None = None) -> str:
-        """Store one run; returns its id."""
-        number = str(uuid.uuid4())
+    def add(self, name: str, mode: str, config: dict, result: dict, by_query: DataFrame, *, reranker: str | None = None, number: str | None = None) -> str:
+        """Store one run; returns its id. The same ``number`` again replaces the run."""
+        number = number or str(uuid.uuid4())
         self.experiments.upsert(self.spark.createDataFrame([(number, name, mode, reranker, json.dumps(config, sort_keys=True), [mode])], "experiment_id string, name string, mode string, crossencoder_model string, config_json string, tags array<string>").withColumn("created_at", F.current_timestamp()))
         self.results.upsert(self.spark.createDataFrame([{**dict.fromkeys([f.split()[0] for f in S.EXPERIMENT_RESULTS.split(", ")]), **result, "experiment_id": number}], S.EXPERIMENT_RESULTS))
-        by_query.select(F.lit(number).alias("experiment_id"), "query_id", "ndcg", "rr", "ap", "precision").write.mode("append").parquet(f"{self.folder}/per_query_metrics/rows")
+        by_query.select("query_id", "ndcg", "rr", "ap", "precision").write.mode("overwrite").parquet(f"{self._by_query}/experiment_id={number}")
         return number
 
+    @property
+    def _by_query(self) -> str:
+        return f"{self.folder}/per_query_metrics/rows"
+
+    def by_query(self) -> DataFrame:
+        """Per-query metrics of all runs."""
+        return self.spark.read.schema(S.PER_QUERY).parquet(self._by_query) if exists(self.spark, self._by_query) else self.spark.createDataFrame([], S.PER_QUERY)
+
     def counts(self) -> dict[str, int]:
-        path = f"{self.folder}/per_query_metrics/rows"
-        return {"experiments": self.experiments.count(), "experiment_results": self.results.count(), "per_query_metrics": self.spark.read.parquet(path).count() if exists(self.spark, path) else 0}
+        return {"experiments": self.experiments.count(), "experiment_results": self.results.count(), "per_query_metrics": self.by_query().count()}
 
     def joined(self) -> DataFrame:
         """Experiments with their results, the newest first."""
