@@ -200,13 +200,18 @@ def _rounded(names: list[str]) -> str:
 # Lexical search
 
 
+def saved_index(spark, corpus, **options):
+    """A BM25 index written to the shared folder, so that texts are split once."""
+    return lexical.build_saved(corpus, _folder(spark, "bm25"), **options)
+
+
 def _run(run):
     return run.select("query_id", "passage_id", *r6("score"), "rank")
 
 
 @query(f"WITH {_bm25()}, {_rank('sc', 'run', 10)} {_OUT}")
 def bm25_topk(spark, sf):
-    return _run(lexical.search(lexical.build(passages(spark, sf)), benchmark_queries(spark, sf)))
+    return _run(lexical.search(saved_index(spark, passages(spark, sf)), benchmark_queries(spark, sf)))
 
 
 @query(
@@ -353,7 +358,7 @@ def fusion_alpha_sweep(spark, sf):
 
 def searcher(spark, sf, **options):
     corpus = passages(spark, sf)
-    return Searcher(corpus, lexical.build(corpus), vectors(spark, sf), **options)
+    return Searcher(corpus, saved_index(spark, corpus), vectors(spark, sf), **options)
 
 
 _LEGS = f"WITH {_bm25(queries_sql=_CHAT)}, {_rank('sc', 'run_lex', 50)}, {_DQ.replace('FROM embeddings WHERE vec_id % 20 = 0', 'FROM embeddings WHERE vec_id % 20 = 0 AND CAST(vec_id AS VARCHAR) IN (SELECT query_id FROM queries)')}, {_dense(tag='vec', k=50, self_too=True)}"

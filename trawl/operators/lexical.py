@@ -1,4 +1,4 @@
-"""BM25 over an inverted index of three tables and one row of totals."""
+"""BM25 over an inverted index of three tables and one row of totals; postings carry their passage's length, so scoring joins on terms alone."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import indexed_text, tokenise
+from ..functions.text import indexed_text, let, tokenise
 from .ranking import ranked
 
 
 @dataclass
 class Bm25Index:
-    """postings (term, passage_id, tf), docs (passage_id, dl), terms (term, df, idf), stats (n_docs, avgdl, average_idf)."""
+    """postings (term, passage_id, tf, dl), docs (passage_id, dl), terms (term, df, idf), stats (n_docs, avgdl, average_idf)."""
 
     postings: DataFrame
     docs: DataFrame
@@ -38,6 +38,16 @@ class Bm25Index:
         return self.docs.count()
 
 
+def term_counts(tokens: Column) -> Column:
+    """Array of (term, tf) of an array of tokens, by sorting it."""
+
+    def counted(held: Column) -> Column:
+        starts = F.filter(F.transform(held, lambda t, i: F.struct(t.alias("term"), i.alias("at"))), lambda s: (s["at"] == 0) | (F.get(held, s["at"] - 1) != s["term"]))
+        return let(starts, lambda first: F.transform(first, lambda s, i: F.struct(s["term"].alias("term"), (F.coalesce(F.get(first, i + 1)["at"], F.size(held)) - s["at"]).cast("long").alias("tf"))))
+
+    return let(F.sort_array(tokens), counted)
+
+
 def build(passages: DataFrame, *, text: Column | None = None, analyse=tokenise, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, probabilistic: bool = True) -> Bm25Index:
     """Index ``passages`` (passage_id, title, text).
 
@@ -49,7 +59,26 @@ def build(passages: DataFrame, *, text: Column | None = None, analyse=tokenise,
     text = indexed_text(F.col("title"), F.col("text")) if text is None else text
     tokens = passages.select("passage_id", analyse(text).alias("tokens"))
     docs = tokens.select("passage_id", F.size("tokens").alias("dl"))
-    postings = tokens.select("passage_id", F.explode("tokens").alias("term")).groupBy("term", "passage_id").agg(F.count(F.lit(1)).alias("tf"))
+    postings = tokens.select("passage_id", F.size("tokens").alias("dl"), F.inline(term_counts(F.col("tokens")))).select("term", "passage_id", "tf", "dl")
+    return of_postings(postings, docs, k1=k1, b=b, epsilon=epsilon, probabilistic=probabilistic)
+
+
+def build_saved(passages: DataFrame, folder: str, *, text: Column | None = None, analyse=tokenise, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, probabilistic: bool = True) -> Bm25Index:
+    """``build`` with texts read and split once: terms and totals are counted on the postings that are written to ``folder``."""
+    spark = passages.sparkSession
+    text = indexed_text(F.col("title"), F.col("text")) if text is None else text
+    tokens = passages.select("passage_id", analyse(text).alias("tokens"))
+    tokens.select("passage_id", F.size("tokens").alias("dl"), term_counts(F.col("tokens")).alias("terms")).write.mode("overwrite").parquet(f"{folder}/passages")
+    written = spark.read.parquet(f"{folder}/passages")
+    postings = written.select("passage_id", "dl", F.inline("terms")).select("term", "passage_id", "tf", "dl")
+    made = of_postings(postings, written.select("passage_id", "dl"), k1=k1, b=b, epsilon=epsilon, probabilistic=probabilistic)
+    for name in ("terms", "stats"):
+        getattr(made, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+    return Bm25Index(made.postings, made.docs, spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/stats"), k1, b)
+
+
+def of_postings(postings: DataFrame, docs: DataFrame, *, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, probabilistic: bool = True) -> Bm25Index:
+    """The index of given postings (term, passage_id, tf, dl) and docs (passage_id, dl); see ``build``."""
     size = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n, d = F.col("n_docs"), F.col("df")
@@ -69,9 +98,15 @@ def scores(index: Bm25Index, queries: DataFrame, analyse=tokenise) -> DataFrame:
     wanted = queries.select("query_id", F.explode(analyse(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     weighed = wanted.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
     length = 1 - index.b + index.b * F.col("dl") / F.col("avgdl")
-    norms = index.docs.crossJoin(F.broadcast(index.stats.select("avgdl"))).select("passage_id", (index.k1 * length).alias("norm"))
-    part = F.col("weight") * F.col("tf") * (index.k1 + 1) / (F.col("tf") + F.col("norm"))
-    return index.postings.join(weighed, "term").join(norms, "passage_id").groupBy("query_id", "passage_id").agg(F.sum(part).alias("score"))
+    part = F.col("weight") * F.col("tf") * (index.k1 + 1) / (F.col("tf") + index.k1 * length)
+    met = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
+    return met.groupBy("query_id", "passage_id").agg(F.sum(part).alias("score"))
+
+
+def restricted(index: Bm25Index, allowed: DataFrame) -> Bm25Index:
+    """The index with the postings of ``allowed`` passages alone; terms and totals stay those of the whole."""
+    ids = allowed.select("passage_id").distinct()
+    return Bm25Index(index.postings.join(ids, "passage_id", "left_semi"), index.docs.join(ids, "passage_id", "left_semi"), index.terms, index.stats, index.k1, index.b)
 
 
 def search(index: Bm25Index, queries: DataFrame, k: int = 10, *, analyse=tokenise, pad_zero: bool = False) -> DataFrame:
