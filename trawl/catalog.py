@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analysis, scores, text
-from .operators import dense, fusion, lexical, metrics, mining, ranking, significance
+from .operators import dense, fusion, lexical, metrics, mining, ranking, results, significance
 from .operators import rerank as reranking
-from .plans import evaluation
+from .plans import evaluation, indexing
 from .plans.search import Searcher
 from .streaming import ingest as streams
-from .streaming import windows
+from .streaming import operations, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -386,7 +386,13 @@ def rerank_standin(spark, sf):
     return searcher(spark, sf).search(chat_queries(spark, sf), "rerank").select("query_id", "passage_id", *r6("score"), "rank")
 
 
-@query(None)
+_HYBRID_SQL = f"{_LEGS}, {_rrf_sql(['run_lex', 'run_vec'])} {_OUT}"
+_RERANK_SQL = _RERANK.replace("run AS (SELECT * FROM", "pool AS (SELECT * FROM").replace("FROM run r", "FROM pool r") + f"{_rank('rr', 'run', 10)} {_OUT}"
+_LEG_SQL = _LEGS.replace("rank <= 50", "rank <= 10") + ", run AS (SELECT * FROM {0}) " + _OUT
+_MODES_SQL = {"bm25": _LEG_SQL.replace("{0}", "run_lex"), "dense": _LEG_SQL.replace("{0}", "run_vec"), "hybrid": _HYBRID_SQL, "rerank": _RERANK_SQL}
+
+
+@query(" UNION ALL ".join(f"SELECT '{mode}' AS mode, * FROM ({sql})" for mode, sql in _MODES_SQL.items()))
 def compare_modes(spark, sf):
     return searcher(spark, sf).compare_modes(chat_queries(spark, sf)).select("mode", "query_id", "passage_id", *r6("score"), "rank")
 
@@ -555,7 +561,23 @@ def truncate_words(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.truncate(F.col("text"), 40, unit="words").alias("short"))
 
 
-@query(None)
+#: Python's white space, for RE2.
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(column: str) -> str:
+    return f"regexp_replace({column}, '\\A{_SPACE}+|{_SPACE}+\\z', '', 'g')"
+
+
+#: Letters, marks, digits and connectors, for RE2.
+_WORD_CHAR = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}]"
+_MARK = _SPACE.replace("[", "[^" + _WORD_CHAR[1:-1], 1)
+_TOKENS_SQL = f"regexp_extract_all(text, '{_WORD_CHAR}+|{_MARK}')"
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN len(t) > 40 THEN array_to_string(list_transform(t[1:39], lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^{_WORD_CHAR}') THEN ' ' || x ELSE x END), '') || '…' ELSE text END AS short FROM (SELECT doc_id, text, {_TOKENS_SQL} AS t FROM documents)"
+)
 def truncate_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.truncate(F.col("text"), 40, unit="tokens").alias("short"))
 
@@ -570,14 +592,6 @@ def chunk_chars(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(text.chunk(F.col("text"), 1000, 200, unit="chars")).alias("position", "chunk"))
 
 
-#: Python's white space, for RE2.
-_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
-def _strip(column: str) -> str:
-    return f"regexp_replace({column}, '\\A{_SPACE}+|{_SPACE}+\\z', '', 'g')"
-
-
 _SENTENCES = f"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_SPACE}+([A-Z\"])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: {_strip('s')}), lambda s: s <> '')"
 
 
@@ -806,3 +820,58 @@ def stream_ingest(spark, sf):
     for run in ("first", "again"):
         streams.ingest(streams.file_messages(spark, f"{folder}/messages"), target, f"{folder}/letters", f"{folder}/state-{run}")
     return target.read().select("passage_id", "text")
+
+
+# Results, diagnostics, counters, filters
+
+
+@query(f"{_TWO}, p AS (SELECT a.query_id, a.ndcg_10 AS half, b.ndcg_10 AS whole FROM m_half a JOIN m_full b USING (query_id)) SELECT query_id, round(half, 6) AS half, round(whole, 6) AS whole FROM p WHERE whole - half > 0.05 AND whole < 0.9")
+def diagnostic_masks(spark, sf):
+    both = evaluation.deltas(half_by_query(spark, sf), by_query(spark, sf), "ndcg_10").select("query_id", F.col("a").alias("half"), F.col("b").alias("whole"))
+    return results.diagnosed(both, dense="whole", lexical="half", low="whole", low_score=0.9).select("query_id", *r6("half", "whole"))
+
+
+@query(f"{_METRICS}, a AS (SELECT avg(ndcg_10) AS ndcg, avg(mrr_10) AS mrr, avg(recall_100) AS recall, avg(precision_10) AS p, avg(ap_retrieved) AS map FROM m_full) SELECT unnest(['ndcg@10', 'mrr@10', 'recall@100', 'precision@10', 'map']) AS name, round(unnest([ndcg, mrr, recall, p, map]), 6) AS figure FROM a")
+def flat_summary(spark, sf):
+    means = metrics.aggregate(by_query(spark, sf))
+    return results.summary(means).select(F.explode("summary").alias("name", "figure")).select("name", *r6("figure"))
+
+
+@query("SELECT event_id, round_even(CAST(round(value * 4) AS DOUBLE) / 8, 2) AS even, round(CAST(round(value * 4) AS DOUBLE) / 8, 2) AS up FROM events")
+def rounding_halves(spark, sf):
+    eighths = table(spark, sf, "events").select("event_id", (F.round(F.col("value") * 4) / 8).alias("v"))
+    both = eighths.select("event_id", F.col("v").alias("even"), F.col("v").alias("up"))
+    return results.rounded(results.rounded(both, ["even"], 2), ["up"], 2, half_even=False)
+
+
+@query("SELECT event_type, user_id % 3 AS shard, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most, sum((value <= 10)::INT)::BIGINT AS le_0, sum((value <= 50)::INT)::BIGINT AS le_1 FROM events GROUP BY 1, 2")
+def labelled_counters(spark, sf):
+    events = table(spark, sf, "events").withColumn("shard", F.col("user_id") % 3)
+    return operations.counters(events, ["event_type", "shard"], value="value", bounds=(10.0, 50.0)).withColumn("total", F.round("total", 4))
+
+
+_FR = "passages AS (SELECT CAST(doc_id AS VARCHAR) AS passage_id, text, lang FROM documents)"
+
+
+@query(f"WITH {_bm25()}, fr AS (SELECT s.* FROM sc s JOIN documents d ON s.passage_id = CAST(d.doc_id AS VARCHAR) WHERE d.lang = 'fr'), {_rank('fr', 'run', 10)} {_OUT}")
+def search_filtered(spark, sf):
+    """French passages alone, under the weights of the whole index."""
+    return _run(searcher(spark, sf).search(benchmark_queries(spark, sf), "bm25", 10, filters={"language": "fr"}))
+
+
+@query(
+    "WITH q AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS passage_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), "
+    "c AS (SELECT DISTINCT query_id FROM q ORDER BY query_id LIMIT 5) SELECT query_id, passage_id, length(d.text)::INT AS chars FROM q JOIN c USING (query_id) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = passage_id"
+)
+def dev_evaluator(spark, sf):
+    """The first five judged queries, their judgments and the passages that these name."""
+    queries, qrels, corpus = indexing.dev_set(benchmark_queries(spark, sf), containment_qrels(spark, sf), passages(spark, sf), 5)
+    return qrels.join(queries, "query_id").join(corpus, "passage_id").select("query_id", "passage_id", F.char_length("text").alias("chars"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS passage_id, text, '' AS title, CAST(doc_id AS DOUBLE) / 4 AS score, CAST(doc_id % 7 AS INTEGER) AS rank, lang FROM documents")
+def result_round_trip(spark, sf):
+    """Results as JSON objects and back."""
+    rows = passages(spark, sf).select("passage_id", "text", (F.col("passage_id").cast("double") / 4).alias("score"), (F.col("passage_id").cast("long") % 7).cast("int").alias("rank"), F.create_map(F.lit("lang"), "lang").alias("metadata"))
+    back = results.from_json(results.to_json(rows).select("json"))
+    return back.select("passage_id", "text", "title", "score", "rank", F.col("metadata")["lang"].alias("lang"))

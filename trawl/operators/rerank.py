@@ -30,7 +30,7 @@ class Reranker(Protocol):
 
 
 def encoded(df: DataFrame, text: str, make: Callable[[], Encoder], *, prefix: str = "", batch: int = 64) -> DataFrame:
-    """``df`` with a unit ``embedding`` of its text; ``make`` builds the encoder once a worker."""
+    """``df`` with a unit ``embedding`` of its text; ``make`` builds the encoder once a worker. No rows are no error: a set is lazy; see ``encoded_list``."""
 
     @F.pandas_udf("array<float>")
     def encode(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -45,6 +45,13 @@ def encoded(df: DataFrame, text: str, make: Callable[[], Encoder], *, prefix: st
     return df.withColumn("embedding", encode(F.col(text)))
 
 
+def encoded_list(spark, texts: list[str], make: Callable[[], Encoder], **options) -> DataFrame:
+    """id and embedding of a caller's texts; an empty list is an error."""
+    if not texts:
+        raise ValueError("no texts to encode")
+    return encoded(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", make, **options).select("id", "embedding")
+
+
 def hashed_words(text: Column, dimensions: int = 64) -> Column:
     """Stand-in embedding: counts of words by the first 32 bits of their MD5, as a unit vector."""
     buckets = F.transform(tokenise(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(dimensions)))

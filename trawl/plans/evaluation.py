@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import metrics, significance
+from ..sources.tables import ExperimentStore
 from .search import Searcher
 
 #: The six systems of a sweep: (name, mode, reranked).
@@ -39,6 +40,47 @@ def sweep(searcher: Searcher, queries: DataFrame, qrels: DataFrame, k: int = 10,
     return out, seconds
 
 
+class Runner:
+    """Runs experiments and stores their results."""
+
+    def __init__(self, searcher: Searcher, store: ExperimentStore):
+        self.searcher, self.store = searcher, store
+
+    def run(self, name: str, mode: str, queries: DataFrame, qrels: DataFrame, k: int = 100, *, number: str | None = None, **options) -> str:
+        """Search, evaluate and store: means, seconds and per-query metrics; returns the experiment's id. The same ``number`` replaces a run."""
+        began = time.time()
+        found = self.searcher.search(queries, mode, k, **options)
+        by_query = metrics.per_query(found, qrels).persist()
+        try:
+            n = by_query.count()
+            seconds = time.time() - began
+            means = metrics.aggregate(by_query).first()
+            cuts = metrics.CUTS
+            result = {
+                "ndcg_at_10": means["ndcg_10"] if means else 0.0,
+                "mrr_at_10": means["mrr_10"] if means else 0.0,
+                "map": means["map"] if means else 0.0,
+                "recall_k": {str(c): means[f"recall_{c}"] for c in cuts} if means else {},
+                "precision_k": {str(c): means[f"precision_{c}"] for c in cuts} if means else {},
+                "queries_per_second": n / max(seconds, 1e-6),
+                "num_queries": n,
+                "num_passages": self.searcher.passages.count(),
+            }
+            rows = by_query.select("query_id", F.col("ndcg_10").alias("ndcg"), "rr", F.col("ap_retrieved").alias("ap"), F.col("precision_10").alias("precision"))
+            return self.store.add(name, mode, {"mode": mode, "k": k, **{o: str(v) for o, v in options.items()}}, result, rows, number=number)
+        finally:
+            by_query.unpersist()
+
+    def compare(self, a: str, b: str, metric: str = "ndcg", **options) -> DataFrame:
+        """Results of both experiments in one row, with the test of their per-query values; an error if either is missing."""
+        both = self.store.compared(a, b)
+        if both is None:
+            raise ValueError("both experiments must have results")
+        values = self.store.by_query().where(F.col("experiment_id").isin(a, b))
+        long = values.select(F.col("experiment_id").alias("system"), F.when(F.col("experiment_id") == a, 0).otherwise(1).alias("ord"), "query_id", F.col(metric).alias("value"))
+        return both.crossJoin(F.broadcast(significance.compare_all(long, **options)))  # one row each
+
+
 def compare(by_query: DataFrame, metric: str = "ndcg_10", **options) -> DataFrame:
     """Bootstrap of all pairs of systems."""
     return significance.compare_all(by_query.select("system", "ord", "query_id", F.col(metric).alias("value")), **options)
