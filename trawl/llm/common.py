@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def picked(df: DataFrame, **types: str) -> DataFrame:
+    """The named columns, cast, and no others; of names that differ in case alone, the one that is spelled so."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+    def place(name: str) -> int:
+        return df.columns.index(name) if name in df.columns else [c.lower() for c in df.columns].index(name.lower())
+
+    return plain.select(*[(plain[f"c{place(n)}"].cast("string").cast(t) if t == "binary" else plain[f"c{place(n)}"].cast(t)).alias(n) for n, t in types.items()])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

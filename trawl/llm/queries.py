@@ -13,6 +13,7 @@ from .exact_dedup import deduplicate
 from .oracles import ORACLE_SQL
 from .packing import pack
 from .quality import judge
+from .runs import digest
 from .simhash import near_duplicates
 from .token_counts import corpus_totals
 from .toxicity import labelled_sample, score, train
@@ -70,6 +71,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_turns(table(spark, sf_dir, "conversations"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents."""
+    return digest(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
@@ -83,4 +89,5 @@ QUERIES = {
     "op8_url_graph": op8_url_graph,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op13_runs": op13_runs,
 }
