@@ -10,6 +10,7 @@ from .bpe import encode_decode
 from .chat import format_turns
 from .common import table
 from .exact_dedup import deduplicate
+from .imatch import edited_likeness
 from .oracles import ORACLE_SQL
 from .packing import pack
 from .quality import judge
@@ -71,6 +72,11 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_turns(table(spark, sf_dir, "conversations"))
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of all documents."""
     return digest(table(spark, sf_dir, "documents"))
@@ -89,5 +95,6 @@ QUERIES = {
     "op8_url_graph": op8_url_graph,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op11_imatch": op11_imatch,
     "op13_runs": op13_runs,
 }
