@@ -7,7 +7,7 @@ from trawl.llm.queries import QUERIES
 
 def both(spark, folder, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet{'/*.parquet' if folder.startswith('/tmp') else ''}')")
     got = QUERIES[name](spark, folder)
     sql = db.execute(ORACLE_SQL[name])
@@ -37,6 +37,9 @@ def odd(spark, tmp_path_factory):
     turns = [(1, t, ["system", "user", "user", "assistant", "assistant", "user", "assistant"][t], f'say "{t}"\n\\ é /') for t in range(7)]
     turns += [(1, 3, "assistant", "again"), (None, 1, "user", None), (None, 2, "assistant", ""), (2, 5, None, "t"), (2, 9, "user", "\u2028 \x7f \t"), (2, 9, "user", "\u2028 \x7f \t")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    near = [(k, [1.0, 0.01 * k, (k % 5) * 0.3], k % 3) for k in range(120)]
+    near += [(50, [0.5, 0.5, 0.5], 2), (7, None, 1), (None, [1.0, 0.0, 0.9], 1), (200, [1.0, None, 0.0], 0), (250, [1.0], 0), (251, [0.5], 0), (252, [0.4], 1)]
+    spark.createDataFrame(near, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 

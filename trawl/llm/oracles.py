@@ -137,4 +137,26 @@ OP10_QUALITY = rf"""
     FROM failed f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_chat": OP7_CHAT, "op8_url_graph": OP8_URL_GRAPH, "op9_exact_dedup": OP9_EXACT_DEDUP, "op10_quality": OP10_QUALITY}
+OP12_HARD_NEGATIVES = r"""
+    WITH v AS (
+        SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+            list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS numbers
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ),
+    anchor AS (SELECT * FROM v WHERE vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, len(numbers), numbers) = 1),
+    scored AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_inner_product(a.numbers, b.numbers) AS BIGINT) AS score
+        FROM anchor a JOIN v b ON len(a.numbers) = len(b.numbers)
+    ),
+    positive AS (
+        SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id NULLS LAST) AS place
+        FROM scored WHERE alike AND anchor_id IS DISTINCT FROM other_id QUALIFY place <= 5
+    )
+    SELECT p.anchor_id, p.other_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY n.score DESC, n.other_id NULLS LAST) AS INTEGER) AS rank,
+        n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM positive p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+    QUALIFY rank <= 3
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_chat": OP7_CHAT, "op8_url_graph": OP8_URL_GRAPH, "op9_exact_dedup": OP9_EXACT_DEDUP, "op10_quality": OP10_QUALITY, "op12_hard_negatives": OP12_HARD_NEGATIVES}

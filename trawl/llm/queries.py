@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .binary_output import pack_rows
 from .bpe import encode_decode
 from .chat import format_turns
 from .common import table
 from .exact_dedup import deduplicate
+from .hard_negatives import mine, shifted_labels
 from .imatch import edited_likeness
 from .oracles import ORACLE_SQL
 from .packing import pack
@@ -77,6 +79,11 @@ def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector among all."""
+    return mine(shifted_labels(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of all documents."""
     return digest(table(spark, sf_dir, "documents"))
@@ -96,5 +103,6 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
     "op11_imatch": op11_imatch,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_runs": op13_runs,
 }
