@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -31,6 +33,17 @@ def test_several_runs(library):
     assert np.frombuffer(subwords.ByteBpe(PATH).encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("length", [1_000, subwords.LONG_SPACE - 1, subwords.LONG_SPACE])
+def test_many_runs_take_no_time(library, length):
+    """Ten million characters of runs just below the bound, or of any length, are read in one pass."""
+    bpe = subwords.ByteBpe(PATH)
+    text = ("x" + " " * length) * (1_000_000 // length)
+    assert np.frombuffer(bpe.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    began = time.perf_counter()
+    bpe.encode(text * 10)
+    assert time.perf_counter() - began < 10
+
+
 def test_operators_read_long_white_space_whole(spark, library):
     rows = [(k, "a" + space * 1_000_000 + "b", "en", "s") for k, space in enumerate((" ", "\n", "\u00a0"))]
     sizes = {k: len(library.encode(t, add_special_tokens=False).ids) for k, t, _, _ in rows}

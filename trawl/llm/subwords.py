@@ -21,7 +21,8 @@ SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space of at least so many characters is cut out before the pattern runs, which would run out of stack on a million.
 LONG_SPACE = 50_000
 
-_LONG_SPACE = re.compile(f"[{SPACES}]{{{LONG_SPACE},}}")
+#: It is looked for from a run's first character alone, so that every shorter run is read once too.
+_LONG_SPACE = re.compile(f"[{SPACES}](?<![{SPACES}]{{2}})[{SPACES}]{{{LONG_SPACE - 1},}}")
 
 
 def byte_symbols() -> dict[str, int]:
