@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analysis, scores, text
-from .operators import dense, fusion, lexical, metrics, mining, ranking, results, significance
+from .operators import blocks, dense, fusion, lexical, metrics, mining, ranking, results, significance
 from .operators import rerank as reranking
 from .plans import evaluation, indexing
 from .plans.search import Searcher
@@ -200,9 +200,28 @@ def _rounded(names: list[str]) -> str:
 # Lexical search
 
 
-def saved_index(spark, corpus, **options):
-    """A BM25 index written to the shared folder, so that texts are split once."""
-    return lexical.build_saved(corpus, _folder(spark, "bm25"), **options)
+_SAVED: dict[tuple, blocks.BlockIndex] = {}
+
+
+def saved_index(spark, sf, name, source, make):
+    """The block index that ``make`` writes to a folder, kept for the files that ``source`` has now; searches share it."""
+    files = source(spark, sf).inputFiles()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    states = [path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f)) for f in files]
+    key = (spark.sparkContext.applicationId, name, *sorted((f, s.getModificationTime(), s.getLen()) for f, s in zip(files, states)))
+    if key not in _SAVED:
+        _SAVED[key] = make(source(spark, sf), _folder(spark, name))
+    return _SAVED[key]
+
+
+def document_index(spark, sf):
+    return saved_index(spark, sf, "bm25", passages, blocks.build)
+
+
+def page_index(spark, sf, analyse=text.tokenise):
+    """Texts and titles of pages as fields of one index."""
+    fields = {"text": F.col("text"), "title": F.col("title")}
+    return saved_index(spark, sf, f"bm25-{analyse.__name__}", page_passages, lambda pages, folder: blocks.build(pages, folder, fields=fields, analyse=analyse, k1=1.2, probabilistic=False))
 
 
 def _run(run):
@@ -211,7 +230,7 @@ def _run(run):
 
 @query(f"WITH {_bm25()}, {_rank('sc', 'run', 10)} {_OUT}")
 def bm25_topk(spark, sf):
-    return _run(lexical.search(saved_index(spark, passages(spark, sf)), benchmark_queries(spark, sf)))
+    return _run(blocks.search(document_index(spark, sf), benchmark_queries(spark, sf)))
 
 
 @query(
@@ -241,13 +260,13 @@ _FIELDS = f"WITH passages AS ({_PAGES}), {_QUERIES}, {_bm25(body='text', classic
 
 @query(f"{_FIELDS}, {_rank('sc', 'run', 10)} {_OUT}")
 def bm25_fields_best(spark, sf):
-    return _run(lexical.search_fields(page_passages(spark, sf), benchmark_queries(spark, sf)))
+    return _run(blocks.search(page_index(spark, sf), benchmark_queries(spark, sf), boosts={"text": 1.0, "title": 0.5}))
 
 
 @query(None)
 def bm25_english(spark, sf):
     """Best field over stemmed terms without stop words."""
-    return _run(lexical.search_fields(page_passages(spark, sf), benchmark_queries(spark, sf), analyse=analysis.english))
+    return _run(blocks.search(page_index(spark, sf, analysis.english), benchmark_queries(spark, sf), analyse=analysis.english, boosts={"text": 1.0, "title": 0.5}))
 
 
 _EN = "passages AS (SELECT CAST(doc_id AS VARCHAR) AS passage_id, text FROM documents WHERE lang = 'en')"
@@ -358,7 +377,7 @@ def fusion_alpha_sweep(spark, sf):
 
 def searcher(spark, sf, **options):
     corpus = passages(spark, sf)
-    return Searcher(corpus, saved_index(spark, corpus), vectors(spark, sf), **options)
+    return Searcher(corpus, document_index(spark, sf), vectors(spark, sf), **options)
 
 
 _LEGS = f"WITH {_bm25(queries_sql=_CHAT)}, {_rank('sc', 'run_lex', 50)}, {_DQ.replace('FROM embeddings WHERE vec_id % 20 = 0', 'FROM embeddings WHERE vec_id % 20 = 0 AND CAST(vec_id AS VARCHAR) IN (SELECT query_id FROM queries)')}, {_dense(tag='vec', k=50, self_too=True)}"

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import indexed_text, let, tokenise
+from . import blocks
+from .blocks import BlockIndex
 from .ranking import ranked
 
 
@@ -103,24 +105,32 @@ def scores(index: Bm25Index, queries: DataFrame, analyse=tokenise) -> DataFrame:
     return met.groupBy("query_id", "passage_id").agg(F.sum(part).alias("score"))
 
 
-def restricted(index: Bm25Index, allowed: DataFrame) -> Bm25Index:
+def restricted(index: Bm25Index | BlockIndex, allowed: DataFrame) -> Bm25Index | BlockIndex:
     """The index with the postings of ``allowed`` passages alone; terms and totals stay those of the whole."""
+    if isinstance(index, BlockIndex):
+        return index.restricted(allowed)
     ids = allowed.select("passage_id").distinct()
     return Bm25Index(index.postings.join(ids, "passage_id", "left_semi"), index.docs.join(ids, "passage_id", "left_semi"), index.terms, index.stats, index.k1, index.b)
 
 
-def search(index: Bm25Index, queries: DataFrame, k: int = 10, *, analyse=tokenise, pad_zero: bool = False) -> DataFrame:
+def search(index: Bm25Index | BlockIndex, queries: DataFrame, k: int = 10, *, analyse=tokenise, pad_zero: bool = False) -> DataFrame:
     """The best ``k`` passages of each query: query_id, passage_id, score, rank.
 
     ``pad_zero`` fills up with passages of score zero, in the order of their
-    ids, as a full ranking of a small corpus would.
+    ids, as a full ranking of a small corpus would; it needs a ``Bm25Index``.
     """
+    if isinstance(index, BlockIndex):
+        if pad_zero:
+            raise ValueError("a block index finds passages that share a term with a query, no others")
+        return blocks.search(index, queries, k, analyse=analyse)
     found = scores(index, queries, analyse)
     if pad_zero:
-        # A query's list is filled from the first k + (rows found) ids of the corpus at most.
-        most = found.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+        # Only queries with fewer than k passages at zero or above are filled, from the first k + (rows found) ids of the corpus at most.
+        own = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("score") >= 0).alias("high"))
+        short = queries.select("query_id").distinct().join(own.where(F.col("high") >= k), "query_id", "left_anti")
+        most = own.where(F.col("high") < k).agg(F.max("rows")).first()[0] or 0
         fill = index.docs.select("passage_id").orderBy("passage_id").limit(k + most)
-        extra = queries.select("query_id").crossJoin(fill).join(found.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti").withColumn("score", F.lit(0.0))
+        extra = short.crossJoin(fill).join(found.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti").withColumn("score", F.lit(0.0))
         found = found.unionByName(extra)
     return ranked(found, k)
 

@@ -38,7 +38,7 @@ class Retriever(Protocol):
 class LexicalRetriever:
     """BM25 as a retriever."""
 
-    def __init__(self, index: lexical.Bm25Index | None = None):
+    def __init__(self, index: lexical.Bm25Index | lexical.BlockIndex | None = None):
         self._index = index
 
     def index(self, passages: DataFrame) -> None:
@@ -107,7 +107,7 @@ class Searcher:
     """
 
     passages: DataFrame
-    index: lexical.Bm25Index | None = None
+    index: lexical.Bm25Index | lexical.BlockIndex | None = None
     vectors: DataFrame | None = None
     fusion: str | Callable = "rrf"
     metric: str = "dot"
