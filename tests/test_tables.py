@@ -24,6 +24,91 @@ def test_keyed_table(spark, tmp_path):
     assert table.drop() and not table.drop()
 
 
+def size_of(folder, prefix=""):
+    return sum(f.stat().st_size for d in folder.glob(f"{prefix}*") for f in ([d] if d.is_file() else d.rglob("*.parquet")))
+
+
+def test_a_write_costs_what_it_changes(spark, tmp_path):
+    """Bytes of a batch grow with the batch, not with the table; unread buckets stay when deltas are folded in."""
+    table = KeyedTable(spark, str(tmp_path / "t"), ROW, order="version")
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("passage_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.lit("").alias("title"), F.lit(1).cast("long").alias("version"))
+    table.upsert(many)
+    assert table.compact() == 16
+    base = size_of(tmp_path / "t", "v-")
+    took = []
+    for rows in (10, 100, 1000):
+        before = size_of(tmp_path / "t", "d-")
+        table.upsert(many.where(F.col("passage_id").cast("int") < rows).withColumns({"text": F.concat("text", F.lit("!")), "version": F.lit(2).cast("long")}))
+        took.append(size_of(tmp_path / "t", "d-") - before)
+    assert took[0] < took[1] < took[2] < base / 10
+    assert table.count() == 20_000 and table.read().where("text like '%!'").count() == 1000
+    one = spark.createDataFrame([("7", "seven", "", 3)], ROW)
+    table.compact()
+    table.upsert(one)
+    assert table.compact() == 1 and table.count() == 20_000 and table.read().where("passage_id = '7'").first().text == "seven"
+
+
+def test_deletes_and_late_rows(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ROW, order="version")
+    table.upsert(spark.createDataFrame([("a", "1", "", 5), ("b", "1", "", 5), ("c", "1", "", None), (None, "null", "", 1)], ROW))
+    keys = lambda *ids: spark.createDataFrame([(i,) for i in ids], "passage_id string")
+    state = lambda: {(r.passage_id, r.text) for r in table.read().collect()}
+    for fold in (False, True):
+        if fold:
+            table.compact()
+        table.delete(keys("a", "unknown"))
+        assert state() == {("b", "1"), ("c", "1"), (None, "null")}
+        table.upsert(spark.createDataFrame([("a", "late", "", 4), ("b", "late", "", 4), ("c", "null order", "", None), (None, "null", "", 1)], ROW))
+        assert state() == {("b", "1"), ("c", "null order"), (None, "null")}
+        table.upsert(spark.createDataFrame([("a", "again", "", 5)], ROW))
+        assert state() == {("a", "again"), ("b", "1"), ("c", "null order"), (None, "null")}
+        table.upsert(spark.createDataFrame([("c", "1", "", None)], ROW))
+    plain = KeyedTable(spark, str(tmp_path / "p"), "passage_id string, text string")
+    plain.upsert(spark.createDataFrame([("a", "1"), ("b", "1")], "passage_id string, text string"))
+    plain.compact()
+    plain.delete(keys("a"))
+    plain.upsert(spark.createDataFrame([("b", "2"), ("c", "1")], "passage_id string, text string"))
+    assert {tuple(r) for r in plain.read().collect()} == {("b", "2"), ("c", "1")}
+
+
+def test_readers_and_writers_at_once(spark, tmp_path):
+    """A reader's frame outlives later writes and a compaction; of two writers that saw one state neither is lost."""
+    table, other = (KeyedTable(spark, str(tmp_path / "t"), ROW, order="version") for _ in range(2))
+    table.upsert(spark.createDataFrame([("a", "old", "", 1)], ROW))
+    before = table.read()
+    seen = table._numbers()
+    plain = table._numbers
+    calls = iter([seen, seen])  # the next write believes that nothing has come since
+    other.upsert(spark.createDataFrame([("b", "other", "", 1)], ROW))
+    table._numbers = lambda: next(calls, None) or plain()
+    table.upsert(spark.createDataFrame([("c", "mine", "", 1)], ROW))
+    assert {r.passage_id for r in table.read().collect()} == {"a", "b", "c"}
+    table.upsert(spark.createDataFrame([("a", "new", "", 2)], ROW))
+    table.compact()
+    assert [r.text for r in before.collect()] == ["old"]
+    # What came after a compaction read the state stays a delta.
+    state = table._state()
+    table.upsert(spark.createDataFrame([("d", "late", "", 1)], ROW))
+    reads = iter([table._numbers()[:-1]])
+    table._numbers = lambda: next(reads, None) or plain()
+    table.upsert(spark.createDataFrame([("e", "later", "", 1)], ROW))
+    assert table.count() == 5 and state["bases"] == table._state()["bases"]
+
+
+def test_batches_and_folding(spark, tmp_path, monkeypatch):
+    from trawl.sources import tables
+
+    monkeypatch.setattr(tables, "MOST_DELTAS", 3)
+    table = KeyedTable(spark, str(tmp_path / "t"), ROW, order="version")
+    for number in (0, 1, 1, 2, 0, 3, 4, 5):
+        table.upsert(spark.createDataFrame([(str(number), "x", "", number), ("all", str(number), "", number)], ROW), batch=("s", number))
+        assert len(table._state()["deltas"]) <= 3
+    assert table.count() == 7 and table.read().where("passage_id = 'all'").first().text == "5"
+    assert len(table._numbers()) <= tables.KEPT_STATES + 4
+    table.upsert(spark.createDataFrame([], ROW))
+    assert table.count() == 7
+
+
 def test_experiments(spark, tmp_path):
     store = ExperimentStore(spark, str(tmp_path / "store"))
     assert store.seed() == len(SEED_EXPERIMENTS) and store.seed() == 0
