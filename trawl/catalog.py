@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import analysis, scores, text
-from .operators import blocks, dense, fusion, lexical, metrics, mining, ranking, results, significance
+from .operators import blocks, dense, fusion, lexical, metrics, mining, ranking, results, significance, similar
 from .operators import rerank as reranking
 from .plans import evaluation, indexing
 from .plans.search import Searcher
@@ -284,10 +284,10 @@ def bm25_pad_zero(spark, sf):
 
 @query("SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS passage_id, 1 AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def containment_qrels(spark, sf):
-    """Judgments: a passage that holds a query's whole text. The query set is a stated one, held against all rows."""
-    asked = benchmark_queries(spark, sf)
-    asked = F.broadcast(asked) if asked.count() <= dense.BLOCK else asked
-    return passages(spark, sf).join(asked, F.contains("text", "query_text")).select("query_id", "passage_id", F.lit(1).alias("grade"))
+    """Judgments: a passage that holds a query's whole text."""
+    asked = benchmark_queries(spark, sf).select(F.col("query_id").alias("needle_id"), F.col("query_text").alias("text"))
+    found = similar.contained(asked, passages(spark, sf).withColumnRenamed("passage_id", "hay_id"))
+    return found.select(F.col("needle_id").alias("query_id"), F.col("hay_id").alias("passage_id"), F.lit(1).alias("grade"))
 
 
 # Dense search
@@ -731,6 +731,24 @@ def hard_negatives(spark, sf):
     return mining.hard_negatives(candidates, positives)
 
 
+_TURNS = "SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant')"
+_SETS = "list_distinct({0})".format(_tokens("{0}"))
+
+
+@query(
+    f"WITH t AS (SELECT *, trim(lower(text), ' \t\n\r\f\v') AS plain, {_SETS.format('text')} AS words FROM ({_TURNS})) "
+    "SELECT a.conv_id, a.turn AS user_turn, b.turn AS assistant_turn FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' "
+    "WHERE a.plain = b.plain OR (a.plain <> '' AND contains(b.plain, a.plain)) OR (b.plain <> '' AND contains(a.plain, b.plain)) "
+    "OR (len(list_intersect(a.words, b.words)) > 0 AND len(list_intersect(a.words, b.words))::DOUBLE / len(list_distinct(list_concat(a.words, b.words))) >= 0.2)"
+)
+def overlapping_turns(spark, sf):
+    """Pairs of a user's and an assistant's turn of a conversation whose texts overlap, at a similarity of 0.2."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    side = lambda role, name: turns.where(F.col("role") == role).select("conv_id", F.col("turn").alias(name), "text")
+    found = similar.overlapping(side("user", "left_id"), side("assistant", "right_id"), 0.2, ["conv_id"])
+    return found.withColumnsRenamed({"left_id": "user_turn", "right_id": "assistant_turn"})
+
+
 @query("SELECT toxic AS label, count(*) AS n FROM labels GROUP BY 1")
 def label_counts(spark, sf):
     return mining.label_counts(table(spark, sf, "labels").select(F.col("toxic").alias("label")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import overlaps
+from .similar import overlapping
 
 
 def pick(value: Column, seed: int, *key: Column) -> Column:
@@ -19,9 +19,10 @@ def hard_negatives(candidates: DataFrame, positives: DataFrame, *, seed: int = 4
     A candidate is a positive if it has a positive's id or overlaps its text;
     queries whose candidates are all positive are left out.
     """
-    known = positives.select("query_id", F.col("passage_id").alias("positive_id"), F.col("text").alias("positive_text"))
-    same = (F.col("passage_id") == F.col("positive_id")) | overlaps(F.col("text"), F.col("positive_text"), threshold)
-    excluded = candidates.join(known, "query_id").where(same).select("query_id", "passage_id").distinct()
+    known = positives.select("query_id", F.col("passage_id").alias("right_id"), "text")
+    offered = candidates.select("query_id", F.col("passage_id").alias("left_id"), "text")
+    same = offered.select("query_id", "left_id").join(known.select("query_id", F.col("right_id").alias("left_id")), ["query_id", "left_id"], "left_semi")
+    excluded = same.unionByName(overlapping(offered, known, threshold, ["query_id"]).select("query_id", "left_id")).distinct().withColumnRenamed("left_id", "passage_id")
     left = candidates.join(excluded, ["query_id", "passage_id"], "left_anti")
     return left.groupBy("query_id").agg(pick(F.col("passage_id"), seed, F.col("query_id")).alias("negative_id"), F.count(F.lit(1)).alias("n_candidates"))
 
