@@ -275,6 +275,16 @@ def hit_filter(hits: DataFrame) -> np.ndarray:
     return room.view(np.uint8)
 
 
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """``hit_filter`` of a column of ids, nulls among them."""
+    return hit_filter(ids.select(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("null")).alias("digest")))
+
+
+def may_hold_ids(bloom: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Whether an ``id_filter`` lets each id pass."""
+    return may_hold(bloom, ["null" if i is None else str(i) for i in ids.cast(pa.int64()).to_pylist()])
+
+
 class Verified:
     """Rows of ``docs`` (doc_id, text), parted by the index: ``passing`` digests can't be hits; ``found`` may be, and their texts are compared.
 
