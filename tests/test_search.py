@@ -91,6 +91,26 @@ def test_cells_reach_recall(spark):
     assert dense.auto_search(asked, corpus, 3).count() == 3 * asked.count()
 
 
+def test_cells_grow(spark):
+    """Twice the vectors without a new fit, cells split past a bound, replaced and deleted vectors; recall stays over nine in ten."""
+    corpus = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").cast("string").alias("passage_id"), "embedding")
+    number = F.col("passage_id").cast("long")
+    asked = corpus.where(number % 20 == 0).withColumnRenamed("passage_id", "query_id")
+    index = dense.build_cells(corpus.where(number % 2 == 0), 20)
+    stale = corpus.where(number % 10 == 0).select("passage_id", F.transform("embedding", lambda x: -x).alias("embedding"))
+    grown = index.add(stale).add(corpus.where((number % 2 == 1) | (number % 10 == 0))).rebalance(100)
+    sizes = {r["cell"]: r["count"] for r in grown.vectors.groupBy("cell").count().collect()}
+    assert sum(sizes.values()) == corpus.count() and max(sizes.values()) <= 100 and len(grown.centres) > 20
+    exact = dense.search(asked, corpus, 10).select("query_id", "passage_id")
+    found = grown.search(asked, 10).select("query_id", "passage_id")
+    assert exact.intersect(found).count() / exact.count() >= 0.9
+    assert {r.passage_id for r in grown.remove(stale).vectors.collect()} == {r.passage_id for r in corpus.where(number % 10 != 0).collect()}
+    # Equal vectors can't be split; they stay one cell over the bound.
+    same = spark.range(50).select(F.col("id").cast("string").alias("passage_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"))
+    one = dense.build_cells(same, 1)
+    assert len(one.rebalance(10).centres) == len(one.centres) and one.rebalance(10).size() == 50
+
+
 def run_of(spark, *lists):
     return spark.createDataFrame([("q", d, float(s), i + 1) for i, (d, s) in enumerate(lists)], "query_id string, passage_id string, score double, rank int")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,6 +147,54 @@ class CellIndex:
     def size(self) -> int:
         return self.vectors.count()
 
+    def remove(self, ids: DataFrame) -> CellIndex:
+        """The index without the vectors of ``ids`` (passage_id)."""
+        return replace(self, vectors=self.vectors.join(ids.select("passage_id").distinct(), "passage_id", "left_anti"))
+
+    def add(self, corpus: DataFrame) -> CellIndex:
+        """The index with the vectors of ``corpus``, each in the cell of its nearest centre; those of known ids are replaced. Centres stay."""
+        new = corpus.select("passage_id", unit(F.col("embedding").cast("array<double>")).alias("embedding") if self.normalise else "embedding")
+        return replace(self, vectors=self.remove(new).vectors.unionByName(assigned(new, self.centres)))
+
+    def rebalance(self, most: int, *, sample: int = 4096) -> CellIndex:
+        """The index with cells of over ``most`` vectors split; ``sample`` vectors of each (about) place the new centres.
+
+        A cell splits into as many parts as it is over the bound, its first part
+        keeps its number, and only its own vectors move. Parts that are still
+        over it are split again, unless their vectors are equal. ``probes``
+        grows by the parts that a vector's cell has come to have on average, so
+        that a query that probed a cell reaches its parts.
+        """
+        vectors, centres, whole, origin = self.vectors, self.centres, set(), list(range(len(self.centres)))
+        while True:
+            sizes = {r["cell"]: r["count"] for r in vectors.groupBy("cell").count().where(F.col("count") > most).collect() if r["cell"] not in whole}  # at most as many as cells
+            if not sizes:
+                break
+            share = F.element_at(F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, sample / n))]), F.col("cell"))
+            picked = vectors.where(F.col("cell").isin(list(sizes))).where(F.pmod(F.xxhash64("passage_id"), F.lit(1 << 30)) <= share * (1 << 30))
+            placed = picked.groupBy("cell").applyInPandas(_placing({c: -(-n // most) for c, n in sizes.items()}), "cell int, centre array<double>")
+            fresh: dict[int, list] = {}
+            for row in placed.collect():  # centres alone
+                fresh.setdefault(row["cell"], []).append(row["centre"])
+            choice, centres = {}, centres.copy()
+            for cell, found in fresh.items():
+                if len(found) == 1:
+                    whole.add(cell)  # equal vectors
+                    continue
+                centres[cell] = found[0]
+                choice[cell] = [cell, *range(len(centres), len(centres) + len(found) - 1)]
+                centres = np.vstack([centres, found[1:]])
+                origin += [origin[cell]] * (len(found) - 1)
+            whole |= set(sizes) - set(fresh)
+            if not choice:
+                continue
+            vectors = assigned(vectors, centres, choice)
+        parts, rows = np.bincount(origin), np.zeros(len(self.centres))
+        for r in vectors.groupBy("cell").count().collect():
+            rows[origin[r["cell"]]] += r["count"]
+        grown = float((parts * rows).sum() / max(1.0, rows.sum()))
+        return replace(self, vectors=vectors, centres=centres, probes=int(np.ceil(self.probes * max(1.0, grown))))
+
     def search(self, queries: DataFrame, k: int = 10, *, probes: int | None = None, exclude_self: bool = False) -> DataFrame:
         """Exact inner products within the ``probes`` nearest cells of each query.
 
@@ -186,17 +235,58 @@ def build_cells(corpus: DataFrame, cells: int = 100, *, seed: int = 42, fit_rows
     sample = corpus.select(F.col("embedding").cast("array<double>").alias("embedding"), "passage_id")
     if total > fit_rows:
         sample = sample.where(F.pmod(F.xxhash64("passage_id"), F.lit(1 << 30)) < int(fit_rows / total * (1 << 30)))
-    model = KMeans(k=max(1, min(cells, total)), seed=seed, maxIter=10, featuresCol="v").fit(sample.select(array_to_vector("embedding").alias("v")))
+    model = KMeans(k=max(2, min(cells, total)), seed=seed, maxIter=10, featuresCol="v").fit(sample.select(array_to_vector("embedding").alias("v")))
     centres = np.array(model.clusterCenters())
 
+    return CellIndex(assigned(corpus, centres), centres)
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmin((centres**2).sum(1) - 2 * vectors @ centres.T, axis=1)
+
+
+def assigned(corpus: DataFrame, centres: np.ndarray, of: dict[int, list[int]] | None = None) -> DataFrame:
+    """passage_id, embedding and the cell of the nearest centre of each row of ``corpus``; with ``of``, rows (with their cell) of the cells that it names move to the nearest of the listed ones."""
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _matrix(batch.column(1), centres.shape[1])
-            near = np.argmin((centres**2).sum(1) - 2 * vectors @ centres.T, axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["passage_id", "embedding", "cell"])
-
-    vectors = corpus.select("passage_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(assign, "passage_id string, embedding array<float>, cell int")
-    return CellIndex(vectors, centres)
+            if of is None:
+                cells = _nearest(vectors, centres)
+            else:
+                cells = batch.column(2).to_numpy(zero_copy_only=False).copy()
+                for cell in np.unique(cells):
+                    if choice := of.get(int(cell)):
+                        here = cells == cell
+                        cells[here] = np.array(choice)[_nearest(vectors[here], centres[choice])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells.astype(np.int32))], names=["passage_id", "embedding", "cell"])
+
+    rows = corpus.select("passage_id", F.col("embedding").cast("array<float>").alias("embedding"), *(["cell"] if of is not None else []))
+    return rows.mapInArrow(assign, "passage_id string, embedding array<float>, cell int")
+
+
+def _split(vectors: np.ndarray, parts: int, rounds: int = 10) -> np.ndarray:
+    """Centres of ``parts`` groups of ``vectors``, or of fewer where they have fewer distinct ones: far points first, then means."""
+    centres = vectors[:1]
+    for _ in range(parts - 1):
+        far = ((vectors[:, None] - centres[None]) ** 2).sum(2).min(1)
+        if far.max() <= 1e-12:
+            break
+        centres = np.vstack([centres, vectors[np.argmax(far)]])
+    for _ in range(rounds):
+        near = _nearest(vectors, centres)
+        centres = np.array([vectors[near == k].mean(0) if (near == k).any() else centres[k] for k in range(len(centres))])
+    return centres
+
+
+def _placing(parts: dict[int, int]) -> Callable:
+    """Centres of a cell's ``parts``, from a sample of its vectors."""
+
+    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = _split(np.array(rows["embedding"].tolist(), np.float64), min(parts[int(key[0])], len(rows)))
+        return pd.DataFrame({"cell": [int(key[0])] * len(found), "centre": found.tolist()})
+
+    return place
 
 
 def auto_search(queries: DataFrame, corpus: DataFrame, k: int = 10, *, metric: str = "dot", method: str = "exact", cells: int = 100, probes: int = 10) -> DataFrame:
