@@ -79,6 +79,18 @@ def test_exact_search(spark, metric):
         assert got == expected
 
 
+@pytest.mark.parametrize("metric", ["dot", "euclid"])
+def test_ties_are_cut_by_id(metric):
+    """Of thousands of equal vectors each query gets the k smallest ids, beside what is better."""
+    rows = np.tile([[1.0, 0.0]], (5000, 1))
+    rows[77] = [2.0, 0.0]
+    names = np.array([str(k) for k in range(5000)], object)
+    asked = np.array([[2.0, 0.0], [2.0, 0.1]])
+    q, p, _ = dense._best(np.array(["a", "b"], object), asked, names, rows, 10, metric, False)
+    for query in ("a", "b"):
+        assert sorted(p[q == query]) == sorted(["77", *sorted(set(names) - {"77"})[:9]])
+
+
 def test_cells_reach_recall(spark):
     """Every vector is indexed and nine in ten of the exact neighbours are found."""
     corpus = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").cast("string").alias("passage_id"), "embedding")
