@@ -117,12 +117,10 @@ def search(index: Bm25Index | BlockIndex, queries: DataFrame, k: int = 10, *, an
     """The best ``k`` passages of each query: query_id, passage_id, score, rank.
 
     ``pad_zero`` fills up with passages of score zero, in the order of their
-    ids, as a full ranking of a small corpus would; it needs a ``Bm25Index``.
+    ids, as a full ranking would.
     """
     if isinstance(index, BlockIndex):
-        if pad_zero:
-            raise ValueError("a block index finds passages that share a term with a query, no others")
-        return blocks.search(index, queries, k, analyse=analyse)
+        return blocks.search(index, queries, k, analyse=analyse, pad_zero=pad_zero)
     found = scores(index, queries, analyse)
     if pad_zero:
         # Only queries with fewer than k passages at zero or above are filled, from the first k + (rows found) ids of the corpus at most.

@@ -119,9 +119,11 @@ class Searcher:
     results: dict[str, tuple[float, DataFrame]] = field(default_factory=dict)
     clock: Callable[[], float] = time.monotonic
 
-    def search(self, queries: DataFrame, mode: str = "hybrid", k: int = 10, *, rerank_top_n: int | None = None, payload: bool = False, filters: dict | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, mode: str = "hybrid", k: int = 10, *, rerank_top_n: int | None = None, payload: bool = False, filters: dict | None = None, legs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         """query_id, passage_id, score, rank of the best ``k``; blank queries have none.
 
+        ``legs``: lexical and dense runs of these queries that were searched deep enough before.
+
         ``filters`` (those of ``ranking.filtered``) choose passages before
         retrieval; the lexical weights stay those of the whole index.
         """
@@ -135,19 +137,25 @@ class Searcher:
             allowed = filtered(self.passages, **filters).select("passage_id")
             index = lexical.restricted(index, allowed) if index else None
             vectors = vectors.join(allowed, "passage_id", "left_semi") if vectors is not None else None
+
+        def leg(n: int, at: int) -> DataFrame:
+            if legs:
+                return legs[at].where(F.col("rank") <= n)
+            return dense.search(queries, vectors, n, metric=self.metric) if at else lexical.search(index, queries, n)
+
         if mode == "bm25":
-            run = lexical.search(index, queries, k)
+            run = leg(k, 0)
         elif mode == "dense":
-            run = dense.search(queries, vectors, k, metric=self.metric)
+            run = leg(k, 1)
         elif mode == "hybrid":
             reach = max(3 * k, 50)
-            legs = [lexical.search(index, queries, reach), dense.search(queries, vectors, reach, metric=self.metric)]
+            runs = [leg(reach, 0), leg(reach, 1)]
             options = {}
             if isinstance(self.fusion, str):
                 options = {"alpha": self.alpha} if fusing.strategy(self.fusion) is fusing.by_scores else {"constant": self.constant}
-            run = merged(self.fusion, legs, k, **options)
+            run = merged(self.fusion, runs, k, **options)
         else:
-            pool = self.search(queries, "hybrid", min(1000, rerank_top_n or 3 * k), filters=filters)
+            pool = self.search(queries, "hybrid", min(1000, rerank_top_n or 3 * k), filters=filters, legs=legs)
             texts = with_payload(pool, self.passages).join(queries.select("query_id", "query_text"), "query_id")
             run = rerank(texts, k, make=self.reranker).select("query_id", "passage_id", "score", "rank")
         run = run.select("query_id", "passage_id", "score", "rank")
@@ -193,10 +201,13 @@ class Searcher:
         return {"succeeded": found, "failed": total - found}
 
     def compare_modes(self, queries: DataFrame, k: int = 10, modes: tuple[str, ...] = MODES) -> DataFrame:
-        """Rows of every mode, with the mode's name."""
+        """Rows of every mode, with the mode's name; each leg is searched once, as deep as the deepest mode asks."""
+        asked, deepest, legs = non_blank(queries), max(3 * min(1000, 3 * k), 50), None
+        if len({"hybrid", "rerank"} & set(modes)) and len(modes) > 1:
+            legs = lexical.search(self.index, asked, deepest).cache(), dense.search(asked, self.vectors, deepest, metric=self.metric).cache()
         out = None
         for mode in modes:
-            leg = self.search(queries, mode, k).withColumn("mode", F.lit(mode))
+            leg = self.search(queries, mode, k, legs=legs).withColumn("mode", F.lit(mode))
             out = leg if out is None else out.unionByName(leg)
         return out
 
