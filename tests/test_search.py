@@ -231,3 +231,15 @@ def test_mining(spark):
     assert [tuple(r) for r in one.collect()] == [("q1", "p", "n")]
     log = spark.createDataFrame([(1, 0.5, None), (2, None, 0.4), (3, None, None)], "step int, loss double, eval_loss double")
     assert mining.loss_curve(log).count() == 2
+
+
+def test_only_texts_of_a_run_move(spark, monkeypatch):
+    """Texts without a mark of the run's ids stay where they are; ids that share a mark with one change no result."""
+    passages = spark.range(2000).select(F.col("id").cast("string").alias("passage_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit(None).cast("string").alias("title"))
+    run = spark.createDataFrame([("q", "7", 1), ("r", "7", 1), ("q", "gone", 2), ("q", "1999", 3)], "query_id string, passage_id string, rank int")
+    for marks in (ranking.MARKS, 2):
+        monkeypatch.setattr(ranking, "MARKS", marks)
+        held = ranking.with_payload(run, passages)
+        plan = held._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan and plan.index("LeftOuter") < plan.index("LeftSemi")
+        assert sorted(tuple(r) for r in held.select("query_id", "passage_id", "text", "title").collect()) == [("q", "1999", "text 1999", ""), ("q", "7", "text 7", ""), ("q", "gone", "", ""), ("r", "7", "text 7", "")]

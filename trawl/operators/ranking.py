@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Decimals at which scores are compared, so that engines which add in another order rank alike.
 COMPARED = 9
+#: Marks that ids are hashed to before the texts of a run are looked up.
+MARKS = 1 << 20
 
 
 def ranked(run: DataFrame, k: int | None = None, *, by: str = "query_id", score: str = "score", tie: str = "passage_id", ascending: bool = False) -> DataFrame:
@@ -54,8 +56,14 @@ def judged_queries(queries: DataFrame, qrels: DataFrame, first: int | None = Non
 
 
 def with_payload(run: DataFrame, passages: DataFrame) -> DataFrame:
-    """Texts and titles joined after the ranks are known; missing ones are empty."""
-    out = run.join(passages.select("passage_id", "text", "title"), "passage_id", "left")
+    """Texts and titles joined after the ranks are known; missing ones are empty.
+
+    Of the passages only those move whose id has the mark of an id of the run;
+    there are MARKS marks at most, so they are sent to where the texts are.
+    """
+    mark = F.pmod(F.xxhash64(F.col("passage_id").cast("string")), F.lit(MARKS)).alias("mark of the id")
+    wanted = passages.select("passage_id", "text", "title", mark).join(F.broadcast(run.select(mark).distinct()), "mark of the id", "left_semi")
+    out = run.join(wanted.drop("mark of the id"), "passage_id", "left")
     return out.withColumns({"text": F.coalesce("text", F.lit("")), "title": F.coalesce("title", F.lit(""))})
 
 
