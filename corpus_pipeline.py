@@ -28,7 +28,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: five-word shingles, similarity of 0.8 or more."""
+    """One document of each component of near copies: candidates by SimHash and min-hashes of five-word shingles, similarity of 0.8 or more."""
     return near_copies.keep_one(docs)
 
 

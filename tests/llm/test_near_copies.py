@@ -107,3 +107,29 @@ def test_links_between_the_parts_of_a_large_group(spark):
         rows.append((200 + k, " ".join(far)))
     got = sorted(((r.doc_id, r.component_id) for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), chunk=4).collect()), key=str)
     assert got == brute_components(rows) and len({c for _, c in got}) > 5
+
+
+def test_simhash_alone_links_all_copies_within_its_radius(spark):
+    """Without the keys of min-hashes, every pair within three bits of the set's SimHash that is near enough is linked."""
+    rng, rows = random.Random(6), []
+    for g in range(30):
+        base = [f"w{rng.randrange(9000)}" for _ in range(rng.randint(300, 900))]
+        rows += [(10 * g + k, " ".join([*base[: len(base) - k], *[f"v{g}" for _ in range(k)]])) for k in range(4)]
+    rows.append((990, " ".join(f"u{k}" for k in range(12_000))))
+    sets = [brute_set(t) for _, t in rows]
+
+    def brute_simhash(shingles):
+        from xxhash import xxh64_intdigest
+
+        hashes = [xxh64_intdigest(s.encode(), 42) for s in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints = [brute_simhash(s) for s in sets]
+    assert [int(N.set_simhash(N.shingles(t.encode()))) for _, t in rows] == prints
+    names = [N.set_print(N.shingles(t.encode())) for _, t in rows]
+    near = {tuple(sorted((names[i], names[j]))) for i, j in combinations(range(len(rows)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3 and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = N.cut(N.prints_and_keys(df).withColumn("keys", F.expr(f"slice(keys, {N.BANDS} + 1, size(keys))")))
+    assert keyed.select(F.size("keys")).distinct().collect() == [(15,)]
+    roots = {r.node: r.root for r in N.components(N.links(df, keyed)).collect()}
+    assert len(near) > 30 and all(a in roots and roots[a] == roots.get(b) for a, b in near)

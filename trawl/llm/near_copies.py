@@ -1,9 +1,12 @@
-"""Near copies by the exact Jaccard similarity of their sets of word shingles.
+"""Near copies by SimHash, and by min-hashes beyond its reach, checked by the exact Jaccard similarity of their sets of word shingles.
 
-Candidates share one of ``BANDS`` keys, each of ``ROWS`` min-hashes of the set:
-a pair at similarity s shares none with probability (1 - s^ROWS)^BANDS, 3e-8 at
-0.8 and less above. Every candidate group is then searched on whole shingle
-sets, fetched for candidates alone, so no link rests on an estimate.
+Candidates share one of a set's keys. The SimHash of the set under each of
+``simhash``'s covering masks is one, so of the pairs within ``RADIUS`` bits none
+is missed. Pairs at the similarity asked for may be further apart (up to 11 bits
+were seen), so there are ``BANDS`` more, each of ``ROWS`` min-hashes: a pair at
+similarity s shares none with probability (1 - s^ROWS)^BANDS, 3e-8 at 0.8 and
+less above. Every candidate group is then searched on whole shingle sets,
+fetched for candidates alone, so no link rests on an estimate.
 
 Distinct sets, not documents, are grouped; equal groups are searched once. A
 group larger than ``chunk`` is searched in three steps. Its sets are dealt to
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices
 from .exact_dedup import id_filter, may_hold_ids
-from .simhash import components, keep_stayers, label
+from .simhash import RADIUS, components, keep_stayers, label, masks
 
 #: Words in a shingle.
 WORDS = 5
@@ -34,16 +37,18 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Seed of the shingles' XXH64.
 SEED = 42
-#: Keys of a set, and min-hashes in each.
+#: Keys of a set that are made of min-hashes, and min-hashes in each.
 BANDS, ROWS = 24, 3
 #: Sets of a group that are dealt to one chunk (about).
 CHUNK = 1024
-#: Shingles min-hashed at once.
+#: Shingles hashed or counted at once.
 STRETCH = 5_000
 
 _DRAWN = np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64, endpoint=False)
 _MIX, _TIMES = _DRAWN[0], _DRAWN[1] | np.uint64(1)
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 1], np.uint64)
+_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_MASKS = np.array(masks(list(range(64)), RADIUS), np.uint64)
 
 
 def shingles(text: bytes | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -69,8 +74,21 @@ def set_prints(texts: list[bytes | None]) -> np.ndarray:
     return np.array([set_print(shingles(t)) for t in texts], np.int64).view(np.uint64)
 
 
+def set_simhash(hashes: np.ndarray) -> np.uint64:
+    """SimHash of a set: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), STRETCH):
+        ones += np.unpackbits(hashes[k : k + STRETCH].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return ((2 * ones > len(hashes)) * _BITS).sum(dtype=np.uint64)
+
+
+def simhash_keys(hashes: np.ndarray) -> np.ndarray:
+    """The SimHash of a set under each mask, as signed longs: sets within ``RADIUS`` bits share one or more."""
+    return (set_simhash(hashes) & _MASKS).view(np.int64)
+
+
 def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set, as signed longs."""
+    """The keys of a set that are made of min-hashes, as signed longs."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), STRETCH):
         np.minimum(least, ((hashes[k : k + STRETCH] ^ _MIX) * _TIMES).min(1), out=least)
@@ -78,12 +96,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def prints_and_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the name of the set) and keys of every row of ``docs``."""
+    """doc_id, fp (the name of the set) and keys (of min-hashes, then of SimHash) of every row of ``docs``."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            keys = pa.array([np.concatenate([band_keys(s), simhash_keys(s)]) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_print(s) for s in sets], pa.int64()), keys], names=["doc_id", "fp", "keys"])
 
     return _texts(docs).mapInArrow(made, "doc_id long, fp long, keys array<long>")
