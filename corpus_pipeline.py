@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from trawl.llm import exact_dedup, near_copies, packing, quality, toxicity
-from trawl.llm.common import drop_folder, shared_folder, table
+from trawl.llm.common import drop_folder, shared_folder, short_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,22 +18,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold; the model is fitted to the labelled ones among ``docs``."""
+    short_batches(spark)
     model = toxicity.train(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
     return toxicity.keep_clean(docs, model)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
+    short_batches(spark)
     return exact_dedup.keep_first(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: candidates by SimHash and min-hashes of five-word shingles, similarity of 0.8 or more."""
+    short_batches(spark)
     return near_copies.keep_one(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed windows."""
+    short_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

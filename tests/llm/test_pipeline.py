@@ -97,3 +97,24 @@ def test_run_equals_its_stages(spark, sf):
             assert offset == at
             at += length
         assert at <= packing.CAPACITY
+
+
+def test_stages_bound_arrow_batches(spark):
+    import pyarrow as pa
+
+    from trawl.llm.common import ARROW_ROWS
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = frame(spark, [(i, f"word{i} and more", "en", "s", 1) for i in range(20)])
+    many = spark.range(0, 5_000, 1, 1)
+
+    def most():
+        return many.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").groupBy().max("n").first()[0]
+
+    try:
+        for stage, asked, seen in (("exact_dedup", "10000", ARROW_ROWS), ("simhash_near_dedup", "0", ARROW_ROWS), ("packing", "300", 300)):
+            spark.conf.set(name, asked)
+            dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+            assert most() == seen
+    finally:
+        spark.conf.unset(name)
