@@ -255,3 +255,13 @@ def test_rows_of_a_dense_search_do_not_grow_with_the_stretches_of_input(spark):
     most = max(8, spark.sparkContext.defaultParallelism)
     assert f"Coalesce {most}" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, found.collect())) == sorted(map(str, dense.search(queries, corpus.coalesce(1), 5).collect()))
+
+
+def test_a_run_is_searched_once_for_its_texts(spark):
+    """The run is kept before its ids choose the texts and the texts are joined to it."""
+    engine, asked = searcher(spark)
+    for found in (engine.search(asked, "hybrid", 5, payload=True),):
+        tree = found._jdf.queryExecution().executedPlan().toString()
+        outer = tree.split("InMemoryRelation")[0]
+        assert "InMemoryTableScan" in outer and "MapInArrow" not in outer
+        assert found.count() == 20

@@ -159,7 +159,7 @@ class Searcher:
             texts = with_payload(pool, self.passages).join(queries.select("query_id", "query_text"), "query_id")
             run = rerank(texts, k, make=self.reranker).select("query_id", "passage_id", "score", "rank")
         run = run.select("query_id", "passage_id", "score", "rank")
-        return with_payload(run, self.passages) if payload else run
+        return with_payload(run.cache(), self.passages) if payload else run
 
     def search_one(self, text: str, mode: str = "hybrid", k: int = 10, *, embedding: list[float] | None = None, **options) -> DataFrame:
         """The search of one query; a blank or too long one is an error."""
