@@ -257,10 +257,18 @@ def test_rows_of_a_dense_search_do_not_grow_with_the_stretches_of_input(spark):
     assert sorted(map(str, found.collect())) == sorted(map(str, dense.search(queries, corpus.coalesce(1), 5).collect()))
 
 
+def test_texts_of_a_pair_are_split_once(spark):
+    """The overlap asks for the tokens several times."""
+    pairs = spark.createDataFrame([("a b b", "B c"), ("", ""), (None, "a"), ("a  b", "b A")], "query string, passage string")
+    scored = pairs.select(F.round(reranking.overlap_score(F.col("query"), F.col("passage")), 6).alias("score"))
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert [r.score for r in scored.collect()] == [round(1 / (1 + np.exp(1 - 8 * x)), 6) for x in (1 / 3, 0, 0, 1)]
+
+
 def test_a_run_is_searched_once_for_its_texts(spark):
     """The run is kept before its ids choose the texts and the texts are joined to it."""
     engine, asked = searcher(spark)
-    for found in (engine.search(asked, "hybrid", 5, payload=True),):
+    for found in (engine.search(asked, "hybrid", 5, payload=True), engine.search(asked, "rerank", 5)):
         tree = found._jdf.queryExecution().executedPlan().toString()
         outer = tree.split("InMemoryRelation")[0]
         assert "InMemoryTableScan" in outer and "MapInArrow" not in outer

@@ -68,7 +68,8 @@ def hashed_words(text: Column, dimensions: int = 64) -> Column:
 
 def overlap_score(query: Column, passage: Column) -> Column:
     """Stand-in reranker: a sigmoid of the words in common."""
-    return sigmoid(8 * jaccard(F.array_distinct(tokenise(query)), F.array_distinct(tokenise(passage))) - 1)
+    tokens = F.struct(F.array_distinct(tokenise(query)).alias("query"), F.array_distinct(tokenise(passage)).alias("passage"))
+    return let(tokens, lambda held: sigmoid(8 * jaccard(held["query"], held["passage"]) - 1))  # texts are split once
 
 
 def rerank(candidates: DataFrame, n: int | None = None, *, make: Callable[[], Reranker] | None = None, batch: int = 32) -> DataFrame:

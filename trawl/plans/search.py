@@ -156,7 +156,7 @@ class Searcher:
             run = merged(self.fusion, runs, k, **options)
         else:
             pool = self.search(queries, "hybrid", min(1000, rerank_top_n or 3 * k), filters=filters, legs=legs)
-            texts = with_payload(pool, self.passages).join(queries.select("query_id", "query_text"), "query_id")
+            texts = with_payload(pool.cache(), self.passages).join(queries.select("query_id", "query_text"), "query_id")
             run = rerank(texts, k, make=self.reranker).select("query_id", "passage_id", "score", "rank")
         run = run.select("query_id", "passage_id", "score", "rank")
         return with_payload(run.cache(), self.passages) if payload else run
